@@ -8,6 +8,10 @@ SECTIONS = [
     "privacy",
     "retrieval",
     "partitioning",
+    "tables",
+    "analysis",
+    "metrics",
+    "streams",
 ]
 
 

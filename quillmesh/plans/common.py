@@ -10,6 +10,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"query {name} registered twice")
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLE[name] = sql
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(read)`` where ``read(table)`` loads a parquet table."""
 
@@ -19,11 +27,17 @@ def query(name: str, sql: str | None = None):
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
-        if name in QUERIES:
-            raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLE[name] = sql
+        add(name, run, sql)
+        return fn
+
+    return register
+
+
+def stream_query(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)`` for queries that open a stream on a table."""
+
+    def register(fn: Callable[[SparkSession, str], DataFrame]):
+        add(name, fn, sql)
         return fn
 
     return register

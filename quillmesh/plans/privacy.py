@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.operators import privacy, routing
@@ -253,17 +252,23 @@ pairs AS (
 
 
 def dialogue_pairs(read):
-    """User turns with the assistant turn that follows them."""
-    turns = read("conversations").filter(F.col("role").isin("user", "assistant"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = turns.withColumn("answer", F.lead("text").over(w)).withColumn(
-        "next_role", F.lead("role").over(w)
+    """User turns with the assistant turn that follows them.
+
+    Turns are numbered without gaps, so the next turn is an equality join and a
+    conversation of any length spreads over all tasks.
+    """
+    turns = read("conversations")
+    asked = turns.filter("role = 'user'").select(
+        "conv_id", "turn", F.col("text").alias("question")
     )
-    return nxt.filter((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
+    replied = turns.filter("role = 'assistant'").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+    )
+    return asked.join(replied, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
         "conv_id",
         "turn",
-        F.col("text").alias("question"),
+        "question",
         "answer",
     )
 
