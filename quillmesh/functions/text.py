@@ -59,39 +59,55 @@ def match_spans(c: str | Column, pattern: str, entity: str) -> Column:
     """All matches of ``pattern`` as ``array<struct<entity_type,start,end>>``.
 
     Spark returns match text but no offsets; splitting by the same pattern gives
-    the text between matches, and the two interleave to the whole string.
+    the text between matches, and the two interleave to the whole string. Texts
+    without a match stop after one look.
     """
     text = as_col(c)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    begins = F.zip_with(
-        between, _running_offsets(between, hits), lambda p, s: s + F.length(p)
-    )
-    spans = F.zip_with(
-        hits,
-        begins,
-        lambda h, b: F.struct(
-            F.lit(entity).alias("entity_type"),
-            b.alias("start"),
-            (b + F.length(h)).alias("end"),
-        ),
+
+    def build(v: Column) -> Column:
+        begins = F.zip_with(
+            v["gap"],
+            _running_offsets(v["gap"], v["hit"]),
+            lambda p, s: s + F.length(p),
+        )
+        spans = F.zip_with(
+            v["hit"],
+            begins,
+            lambda h, b: F.struct(
+                F.lit(entity).alias("entity_type"),
+                b.alias("start"),
+                (b + F.length(h)).alias("end"),
+            ),
+        )
+        return F.filter(spans, lambda s: s["end"].isNotNull())
+
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
+        F.split(text, pattern, -1).alias("gap"),
     )
-    return F.filter(spans, lambda s: s["end"].isNotNull())
+    empty = F.array().cast("array<struct<entity_type:string,start:int,end:int>>")
+    return F.when(F.rlike(text, F.lit(pattern)), let(parts, build)).otherwise(empty)
 
 
 def sentence_spans(c: str | Column) -> Column:
     """Sentences as ``array<struct<text,start,end>>``; blank pieces are dropped."""
     text = as_col(c)
-    pieces = F.split(text, SENTENCE_BREAK, -1)
-    gaps = F.regexp_extract_all(text, F.lit(SENTENCE_BREAK), F.lit(0))
-    spans = F.zip_with(
-        pieces,
-        _running_offsets(pieces, gaps),
-        lambda p, s: F.struct(
-            strip(p).alias("text"), s.alias("start"), (s + F.length(p)).alias("end")
-        ),
+
+    def build(v: Column) -> Column:
+        spans = F.zip_with(
+            v["piece"],
+            _running_offsets(v["piece"], v["gap"]),
+            lambda p, s: F.struct(
+                strip(p).alias("text"), s.alias("start"), (s + F.length(p)).alias("end")
+            ),
+        )
+        return F.filter(spans, lambda s: s["text"] != "")
+
+    parts = F.struct(
+        F.split(text, SENTENCE_BREAK, -1).alias("piece"),
+        F.regexp_extract_all(text, F.lit(SENTENCE_BREAK), F.lit(0)).alias("gap"),
     )
-    return F.filter(spans, lambda s: s["text"] != "")
+    return let(parts, build)
 
 
 def sentences(c: str | Column) -> Column:

@@ -135,7 +135,7 @@ def sentence_risk(
     sent: Column,
     spans: Column,
     query_terms: Column | None = None,
-    keywords: Sequence[str] = tuple(RISK_KEYWORDS),
+    keywords: Column | Sequence[str] = tuple(RISK_KEYWORDS),
 ) -> Column:
     """Risk in [0, 1] of one sentence struct.
 
@@ -153,13 +153,11 @@ def sentence_risk(
         ),
     )
     pii_part = covered / F.greatest(F.lit(1), sent["end"] - sent["start"])
-    lowered = F.lower(text)
-    word_part = F.lit(0.0)
-    for word in keywords:
-        word_part = word_part + F.when(
-            F.contains(lowered, F.lit(word.lower())), F.lit(0.2)
-        ).otherwise(F.lit(0.0))
-    digits = F.regexp_count(text, F.lit("[0-9]"))
+    if not isinstance(keywords, Column):
+        keywords = F.array(*[F.lit(w.lower()) for w in keywords]).cast("array<string>")
+    found = F.filter(keywords, lambda w: F.contains(F.lower(text), w))
+    word_part = F.size(found) * F.lit(0.2)
+    digits = F.length(text) - F.length(F.translate(text, "0123456789", ""))
     digit_part = F.least(
         F.lit(0.3), digits / F.greatest(F.lit(1), F.length(text)) * F.lit(0.3)
     )
@@ -188,24 +186,28 @@ def scored_sentences(
     """``array<struct<text,start,end,risk>>`` for one text."""
     text = as_col(col)
     spans = pii_spans(text) if spans is None else spans
+    # Most texts hold no keyword, so sentences are tested against the text's own.
+    words = F.array(*[F.lit(w.lower()) for w in keywords]).cast("array<string>")
+    present = let(
+        F.lower(text), lambda low: F.filter(words, lambda w: F.contains(low, w))
+    )
+    bound = [spans.alias("sp"), present.alias("kw"), sentence_spans(text).alias("ss")]
+    if query is not None:
+        bound.append(query_terms(query).alias("qt"))
 
-    def with_risk(sp: Column, qt: Column | None) -> Column:
+    def with_risk(v: Column) -> Column:
+        terms = v["qt"] if query is not None else None
         return F.transform(
-            sentence_spans(text),
+            v["ss"],
             lambda s: F.struct(
                 s["text"].alias("text"),
                 s["start"].alias("start"),
                 s["end"].alias("end"),
-                sentence_risk(s, sp, qt, keywords).alias("risk"),
+                sentence_risk(s, v["sp"], terms, v["kw"]).alias("risk"),
             ),
         )
 
-    if query is None:
-        return let(spans, lambda sp: with_risk(sp, None))
-    return let(
-        F.struct(spans.alias("sp"), query_terms(query).alias("qt")),
-        lambda v: with_risk(v["sp"], v["qt"]),
-    )
+    return let(F.struct(*bound), with_risk)
 
 
 def _keep_rule(threshold: Column, preserve: int):
@@ -301,21 +303,15 @@ def sanitize(
 
 def text_to_vector(col: str | Column, n: int = 256) -> Column:
     """First ``n`` UTF-8 bytes scaled to [0, 1], padded with zeros."""
-    hexed = F.hex(F.encode(as_col(col), "UTF-8"))
-
-    def build(h: Column) -> Column:
-        size = F.least(F.length(h) / F.lit(2), F.lit(n)).cast("int")
-        index = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        values = F.transform(
-            index,
-            lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double")
-            / F.lit(255.0),
-        )
-        return F.concat(values, F.array_repeat(F.lit(0.0), F.lit(n) - size))
-
-    return let(hexed, build)
+    pairs = F.regexp_extract_all(
+        F.hex(F.substring(F.encode(as_col(col), "UTF-8"), 1, n)), F.lit(".."), F.lit(0)
+    )
+    values = F.transform(
+        pairs, lambda h: F.conv(h, 16, 10).cast("double") / F.lit(255.0)
+    )
+    return let(
+        values, lambda v: F.concat(v, F.array_repeat(F.lit(0.0), F.lit(n) - F.size(v)))
+    )
 
 
 def erasure_rows(df: DataFrame, key: str, col: str, **kwargs) -> DataFrame:

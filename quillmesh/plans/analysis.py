@@ -198,18 +198,18 @@ def threshold(read):
 
 @query(
     "rollup_client_metrics",
-    """WITH d AS (SELECT (event_id // 1000)::BIGINT AS round, event_type AS metric, user_id % 7 AS client_id, round(avg(value), 4) AS value, count(*) AS n FROM events GROUP BY ALL)
+    """WITH d AS (SELECT (event_id // 1000)::BIGINT AS round, event_type AS metric, user_id % 7 AS client_id, avg(round(value * 100)::BIGINT) AS value, count(*) AS n FROM events GROUP BY ALL)
 SELECT round, metric, round(sum(value * n) / sum(n), 6) AS weighted_mean, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
- array_to_string(list_transform(list(value ORDER BY client_id), lambda v: printf('%.4f', v)), ' ') AS values_text FROM d GROUP BY round, metric""",
+ array_to_string(list_transform(list(value ORDER BY client_id), lambda v: floor(v * 8)::BIGINT::VARCHAR), ' ') AS values_text FROM d GROUP BY round, metric""",
 )
 def client_metrics(read):
     rows = read("events").groupBy(
         F.floor(F.col("event_id") / 1000).alias("round"),
         F.col("event_type").alias("metric"),
         F.pmod("user_id", F.lit(7)).alias("client_id"),
-    ).agg(F.round(F.avg("value"), 4).alias("value"), F.count(F.lit(1)).alias("n"))
+    ).agg(F.avg(F.round(F.col("value") * 100).cast("long")).alias("value"), F.count(F.lit(1)).alias("n"))
     out = aggregation.rollup_metrics(rows)
-    text = F.array_join(F.transform("values", lambda v: F.format_string("%.4f", v)), " ")
+    text = F.array_join(F.transform("values", lambda v: F.floor(v * 8).cast("string")), " ")
     return out.select("round", "metric", *r6("weighted_mean", "mean", "std"), text.alias("values_text"))
 
 

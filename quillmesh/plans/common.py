@@ -6,6 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmesh.session import spread
+
+# Tables whose queries do heavy work per row, with a key to spread them by.
+HEAVY = {
+    "documents": "doc_id",
+    "conversations": "conv_id",
+    "pages": "page_id",
+    "lineitem": "l_orderkey",
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -23,7 +33,11 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Callable[[Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            def read(table: str) -> DataFrame:
+                df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+                return spread(df, HEAVY[table]) if table in HEAVY else df
+
+            return fn(read)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

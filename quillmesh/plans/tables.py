@@ -384,7 +384,7 @@ def reindex(read):
     return features.reindex(rows, "o_custkey", out="user_index").drop("o_custkey")
 
 
-SQL_SERIES = """hr AS (SELECT event_type AS sensor, (epoch(date_trunc('hour', ts)) // 3600)::BIGINT AS h, round(avg(value), 4) AS value FROM events GROUP BY ALL),
+SQL_SERIES = """hr AS (SELECT event_type AS sensor, (epoch(date_trunc('hour', ts)) // 3600)::BIGINT AS h, avg(round(value * 100)::BIGINT) AS value FROM events GROUP BY ALL),
 sr AS (SELECT sensor, row_number() OVER (PARTITION BY sensor ORDER BY h) - 1 AS t, value FROM hr)"""
 
 
@@ -392,7 +392,8 @@ def series(read):
     """Mean value per hour and event type; hours without events are skipped."""
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000)
     hourly = read("events").groupBy(F.col("event_type").alias("sensor"), hour.alias("h")).agg(
-        F.round(F.avg("value"), 4).alias("value")
+        # Cents add up exactly in any order.
+        F.avg(F.round(F.col("value") * 100).cast("long")).alias("value")
     )
     placed = sorted_positions(hourly, ["h"], ["sensor"], "t", None)
     return placed.select("sensor", "t", "value")
@@ -417,11 +418,11 @@ def normalize_sensor(read):
 @query(
     "feature_series_windows",
     f"""WITH {SQL_SERIES}, w AS (SELECT sensor, t, value AS y, list(value) OVER (PARTITION BY sensor ORDER BY t ROWS BETWEEN 35 PRECEDING AND 12 PRECEDING) AS x, (SELECT max(t) + 1 FROM sr) AS n FROM sr)
-SELECT sensor, t, y, array_to_string(list_transform(x, lambda v: printf('%.4f', v)), ' ') AS x_text, CASE WHEN t < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'test' END AS part FROM w WHERE len(x) = 24""",
+SELECT sensor, t, y, array_to_string(list_transform(x, lambda v: floor(v * 8)::BIGINT::VARCHAR), ' ') AS x_text, CASE WHEN t < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'test' END AS part FROM w WHERE len(x) = 24""",
 )
 def series_windows(read):
     out = features.series_windows(series(read), 24, 12, width=128)
-    text = F.array_join(F.transform("x", lambda v: F.format_string("%.4f", v)), " ")
+    text = F.array_join(F.transform("x", lambda v: F.floor(v * 8).cast("string")), " ")
     return out.select("sensor", "t", "y", text.alias("x_text"), "part")
 
 
