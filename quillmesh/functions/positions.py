@@ -45,27 +45,29 @@ def bucket_positions(
     The bucket must be a pure function of the row, so that a recomputed task
     yields the same numbers.
     """
-    keys = list(keys)
-    tagged = df.withColumn("_bucket", bucket)
-    counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    tagged = df.withColumn("_bucket", bucket).withColumn("_key", group_key(keys))
+    counts = tagged.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy("_key")
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     if total:
-        offsets = offsets.withColumn(total, F.sum("_c").over(Window.partitionBy(*keys)))
-    offsets = offsets.drop("_c")
-    local = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+        offsets = offsets.withColumn("_all", F.sum("_c").over(group))
+    local = Window.partitionBy("_key", "_bucket").orderBy(*order)
     numbered = tagged.withColumn("_rn", F.row_number().over(local))
-    on = [numbered[k].eqNullSafe(offsets[k]) for k in [*keys, "_bucket"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    keep = [numbered[c] for c in df.columns]
-    out = [(offsets["_off"] + numbered["_rn"] - 1).cast("long").alias(pos)]
+    out = [(F.col("_off") + F.col("_rn") - 1).cast("long").alias(pos)]
     if total:
-        out.append(offsets[total].cast("long").alias(total))
-    return numbered.join(offsets, cond).select(*keep, *out)
+        out.append(F.col("_all").cast("long").alias(total))
+    joined = numbered.join(offsets.drop("_c"), ["_key", "_bucket"])
+    return joined.select(*[F.col(c) for c in df.columns], *out)
+
+
+def group_key(keys: Sequence[str]) -> Column:
+    """The keys as one struct, whose equality also holds for null fields.
+
+    Joining on it keeps the partitioning of a window over the same column, which
+    a null-safe comparison of the single keys would not.
+    """
+    return F.struct(*keys) if keys else F.lit(0)
 
 
 def hash_positions(

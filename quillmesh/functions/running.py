@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.positions import group_key
+
 WIDTH = 1 << 16
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
@@ -28,21 +30,21 @@ def running(
 
     ``pos`` is an integer. Exclusive aggregates leave out the current row.
     """
-    keys = list(keys)
     tagged = df.withColumn("_blk", F.floor(F.col(pos) / width))
+    tagged = tagged.withColumn("_key", group_key(keys))
     for i, (_, value) in enumerate(values.values()):
         tagged = tagged.withColumn(f"_v{i}", value)
-    totals = tagged.groupBy(*keys, "_blk").agg(
+    totals = tagged.groupBy("_key", "_blk").agg(
         *[_AGG[fn](f"_v{i}").alias(f"_t{i}") for i, (fn, _) in enumerate(values.values())]
     )
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(
+    before = Window.partitionBy("_key").orderBy("_blk").rowsBetween(
         Window.unboundedPreceding, -1
     )
     # Block counts are added up, all other totals combine with their own function.
     up = {"count": F.sum}
     offsets = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_blk").alias("_b2"),
+        "_key",
+        "_blk",
         *[
             up.get(fn, _AGG[fn])(f"_t{i}").over(before).alias(f"_o{i}")
             for i, (fn, _) in enumerate(values.values())
@@ -50,16 +52,13 @@ def running(
     )
     end = 0 if inclusive else -1
     local = (
-        Window.partitionBy(*keys, "_blk")
+        Window.partitionBy("_key", "_blk")
         .orderBy(pos)
         .rowsBetween(Window.unboundedPreceding, end)
     )
     for i, (fn, _) in enumerate(values.values()):
         tagged = tagged.withColumn(f"_l{i}", _AGG[fn](f"_v{i}").over(local))
-    cond = F.col("_blk") == F.col("_b2")
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = tagged.join(offsets, cond)
+    joined = tagged.join(offsets, ["_key", "_blk"])
     outs = []
     for i, (name, (fn, _)) in enumerate(values.items()):
         a, b = F.col(f"_o{i}"), F.col(f"_l{i}")

@@ -110,6 +110,16 @@ def sentence_spans(c: str | Column) -> Column:
     return let(parts, build)
 
 
+def inline_rows(df, keep, rows: Column, key: str):
+    """Columns of an array of structs, one row per entry.
+
+    The plain generators add a filter on the array's size below themselves, which
+    computes a costly array twice; the outer form does not, and its row for an
+    empty array is recognised by a null in ``key``.
+    """
+    return df.select(*keep, F.inline_outer(rows)).filter(F.col(key).isNotNull())
+
+
 def sentences(c: str | Column) -> Column:
     """Sentence texts without offsets."""
     cut = F.transform(F.split(as_col(c), SENTENCE_BREAK, -1), strip)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import let, sentences, ws_tokens
+from quillmesh.functions.text import inline_rows, let, sentences, ws_tokens
 
 CHUNK_SIZE = 1024
 CHUNK_OVERLAP = 20
@@ -45,7 +45,7 @@ def chunk_tokens(
 ) -> DataFrame:
     """Fixed-size token windows: ``key, pos, text, n_tokens``."""
     chunks = let(ws_tokens(col), lambda t: _token_chunks(t, size, overlap))
-    return df.select(key, F.inline(chunks))
+    return inline_rows(df, [key], chunks, "pos")
 
 
 def chunk_chars(
@@ -64,7 +64,7 @@ def chunk_chars(
             F.substring(text, s + 1, F.lit(size)).alias("text"),
         ),
     )
-    return df.select(key, F.inline(chunks))
+    return inline_rows(df, [key], chunks, "pos")
 
 
 def chunk_hierarchical(
@@ -99,7 +99,7 @@ def chunk_hierarchical(
             ]
         )
 
-    return df.select(key, F.inline(let(ws_tokens(col), levels)))
+    return inline_rows(df, [key], let(ws_tokens(col), levels), "pos")
 
 
 def chunk_multi(
@@ -135,7 +135,7 @@ def chunk_multi(
         )
         return F.concat(*parts, base)
 
-    return df.select(key, F.inline(let(ws_tokens(col), all_sizes)))
+    return inline_rows(df, [key], let(ws_tokens(col), all_sizes), "pos")
 
 
 def sentence_window(df: DataFrame, key: str, col: str, k: int = 3) -> DataFrame:
@@ -158,4 +158,4 @@ def sentence_window(df: DataFrame, key: str, col: str, k: int = 3) -> DataFrame:
             ),
         )
 
-    return df.select(key, F.inline(let(sentences(col), windows)))
+    return inline_rows(df, [key], let(sentences(col), windows), "pos")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.positions import sorted_positions
 from quillmesh.functions.running import running
+from quillmesh.session import cut_lineage
 
 GRID = 64.0
 # IoU thresholds 0.50, 0.55 ... 0.95.
@@ -146,35 +147,62 @@ def average_precision(
         "_pos",
         None,
     ).drop("_s")
-    levels = F.array(*[F.lit(float(t)) for t in thresholds])
-    matched = ordered.join(best, "box_id").withColumn("threshold", F.explode(levels))
-    hits = (
-        matched.filter(F.col("iou") > F.col("threshold"))
-        .groupBy("label", "threshold", "gt")
-        .agg(F.min("_pos").alias("_pos"))
+    # One column per threshold keeps one row per ground truth.
+    n = range(len(thresholds))
+    first = (
+        ordered.join(best, "box_id")
+        .groupBy("label", "gt")
+        .agg(
+            *[
+                F.min(F.when(F.col("iou") > F.lit(float(t)), F.col("_pos"))).alias(f"_m{i}")
+                for i, t in enumerate(thresholds)
+            ]
+        )
     )
+    hits = first.withColumn(
+        "_pos", F.explode(F.array_distinct(F.array_compact(F.array(*[f"_m{i}" for i in n]))))
+    ).select(
+        "label", "_pos", *[(F.col(f"_m{i}") == F.col("_pos")).cast("int").alias(f"_f{i}") for i in n]
+    )
+    # Running aggregates read their input twice, so it is stored first.
     counted = running(
-        hits, ["label", "threshold"], "_pos", {"_tp": ("count", F.col("_pos"))}
+        cut_lineage(hits), ["label"], "_pos", {f"_c{i}": ("sum", F.col(f"_f{i}")) for i in n}
     )
-    scored = counted.withColumn("_prec", F.col("_tp") / (F.col("_pos") + 1)).withColumn(
-        "_back", -F.col("_pos")
+    scored = counted.select(
+        "label",
+        (-F.col("_pos")).alias("_back"),
+        *[
+            F.when(F.col(f"_f{i}") == 1, F.col(f"_c{i}") / (F.col("_pos") + 1)).alias(f"_p{i}")
+            for i in n
+        ],
     )
     smooth = running(
-        scored, ["label", "threshold"], "_back", {"_env": ("max", F.col("_prec"))}
+        cut_lineage(scored), ["label"], "_back", {f"_e{i}": ("max", F.col(f"_p{i}")) for i in n}
+    )
+    areas = smooth.groupBy("label").agg(
+        *[F.sum(F.when(F.col(f"_p{i}").isNotNull(), F.col(f"_e{i}"))).alias(f"_a{i}") for i in n]
     )
-    sums = smooth.groupBy("label", "threshold").agg(F.sum("_env").alias("_area"))
     labels = (
         gts.select("label", F.lit(1).alias("_g"))
         .unionByName(dets.select("label", F.lit(0).alias("_g")))
         .groupBy("label")
         .agg(F.sum("_g").alias("n_gt"))
-        .withColumn("threshold", F.explode(levels))
     )
-    return labels.join(sums, ["label", "threshold"], "left").select(
-        "label",
-        "threshold",
-        "n_gt",
-        F.coalesce(F.col("_area") / (F.col("n_gt") + 1e-8), F.lit(0.0)).alias("ap"),
+    listed = F.array(
+        *[
+            F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_a{i}").alias("_area"))
+            for i, t in enumerate(thresholds)
+        ]
+    )
+    return (
+        labels.join(areas, "label", "left")
+        .select("label", "n_gt", F.inline(listed))
+        .select(
+            "label",
+            "threshold",
+            "n_gt",
+            F.coalesce(F.col("_area") / (F.col("n_gt") + 1e-8), F.lit(0.0)).alias("ap"),
+        )
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators.chunking import chunk_tokens
 from quillmesh.operators.retrieval import DIGITS, top_k
+from quillmesh.session import cut_lineage
 
 RRF_K = 60
 CONTRAST_WEIGHT = 100.0
@@ -55,6 +56,8 @@ def auto_merge(hits: DataFrame, chunks: DataFrame, ratio: float = 0.5) -> DataFr
 
     ``hits(query_id, chunk_id, score)``, ``chunks(chunk_id, parent_id)``.
     """
+    # A hit list is short but costs a search, and it is read three times below.
+    hits = cut_lineage(hits.select("query_id", "chunk_id", "score"))
     children = (
         chunks.filter(F.col("parent_id").isNotNull())
         .groupBy("parent_id")
@@ -194,23 +197,24 @@ def ensemble_answers(answers: DataFrame, generated: str | None = None) -> DataFr
     longer than 30 characters; failing that the first two are joined.
     """
     usable = answers.filter(F.col("answer").isNotNull() & (F.col("answer") != ""))
-    aggs = [
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("client_id", "answer"))),
-            lambda s: s["answer"],
-        ).alias("_a")
-    ]
-    if generated:
-        aggs.append(F.max(F.trim(generated)).alias("_g"))
-    per_query = usable.groupBy("query_id").agg(*aggs)
-    first_two = F.concat(F.get("_a", F.lit(0)), F.lit(" | "), F.get("_a", F.lit(1)))
-    out = F.when(F.size("_a") == 1, F.get("_a", F.lit(0)))
-    if generated:
-        out = out.when(F.length("_g") > 30, F.col("_g"))
-    return per_query.select(
-        "query_id",
-        F.size("_a").cast("long").alias("n_answers"),
-        out.otherwise(first_two).alias("answer"),
+    counts = usable.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_answers"),
+        F.max(F.trim(generated) if generated else F.lit(None).cast("string")).alias("_g"),
+    )
+    # Two answers per query are enough; the limit is applied in every task.
+    w = Window.partitionBy("query_id").orderBy("client_id", "answer")
+    top = usable.withColumn("_r", F.row_number().over(w)).filter("_r <= 2")
+    firsts = top.groupBy("query_id").agg(
+        F.max(F.when(F.col("_r") == 1, F.col("answer"))).alias("_1"),
+        F.max(F.when(F.col("_r") == 2, F.col("answer"))).alias("_2"),
+    )
+    chosen = (
+        F.when(F.col("n_answers") == 1, F.col("_1"))
+        .when(F.length("_g") > 30, F.col("_g"))
+        .otherwise(F.concat("_1", F.lit(" | "), "_2"))
+    )
+    return counts.join(firsts, "query_id").select(
+        "query_id", "n_answers", chosen.alias("answer")
     )
 
 

@@ -24,6 +24,7 @@ from quillmesh.functions.positions import (
     seeded_hash,
     sorted_positions,
 )
+from quillmesh.session import cut_lineage
 
 
 def hash_normal(seed: int | str, *cols: str | Column) -> Column:
@@ -451,9 +452,9 @@ def split_links(
     """
     pairs = edges.select("src", "dst").distinct()
     keyed = pairs.withColumn("_id", F.concat_ws("-", "src", "dst"))
-    split = split_nodes(keyed, "_id", val, test, seed)
+    split = cut_lineage(split_nodes(keyed, "_id", val, test, seed))
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    indexed = hash_positions(nodes, "node", seed=seed, pos="_k", total="_N")
+    indexed = cut_lineage(hash_positions(nodes, "node", seed=seed, pos="_k", total="_N"))
     count = indexed.select("_N").limit(1).scalar()
 
     def pick(side: str) -> Column:
@@ -477,7 +478,7 @@ def split_links(
         .join(pairs, ["src", "dst"], "left_anti")
         .withColumn("_id", F.concat_ws("-", "src", "dst"))
     )
-    placed = hash_positions(fresh, "_id", ["part"], seed, "_pos", None)
+    placed = hash_positions(cut_lineage(fresh), "_id", ["part"], seed, "_pos", None)
     wanted = split.groupBy("part").agg(
         F.floor(F.count(F.lit(1)) * F.lit(float(neg))).alias("_want")
     )

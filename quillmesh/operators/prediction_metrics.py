@@ -133,12 +133,13 @@ def ranking_quality(df: DataFrame, label: str, score: str) -> DataFrame:
     )
     neg = F.col("all") - F.col("pos")
     # A positive outranks all negatives with lower scores and half of its ties.
-    totals = groups.agg(F.sum("pos").alias("p"), F.sum(F.col("all") - F.col("pos")).alias("n"))
+    totals = ordered.agg(
+        F.struct(F.sum("pos").alias("p"), F.sum(F.col("all") - F.col("pos")).alias("n"))
+    ).scalar()
     below = F.col("_n") - (F.col("_seen") - F.col("_tp"))
-    p, n = totals.select("p").scalar(), totals.select("n").scalar()
     return (
-        run.withColumn("_p", p)
-        .withColumn("_n", n)
+        run.withColumn("_all", totals)
+        .select("*", F.col("_all.p").alias("_p"), F.col("_all.n").alias("_n"))
         .agg(
             F.max("_p").alias("n_pos"),
             F.max("_n").alias("n_neg"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.text import (
     as_col,
+    inline_rows,
     let,
     match_spans,
     sentence_spans,
@@ -120,15 +121,16 @@ def mask_pii(
 def split_sentences(df: DataFrame, col: str) -> DataFrame:
     """One row per sentence with its position and offsets."""
     kept = [c for c in df.columns if c != col]
-    return df.select(
-        *kept, F.posexplode(sentence_spans(col)).alias("position", "_s")
-    ).select(
-        *kept,
-        F.col("position").cast("long").alias("position"),
-        F.col("_s.text").alias("sentence"),
-        F.col("_s.start").cast("long").alias("start"),
-        F.col("_s.end").cast("long").alias("end"),
+    rows = F.transform(
+        sentence_spans(col),
+        lambda s, i: F.struct(
+            i.cast("long").alias("position"),
+            s["text"].alias("sentence"),
+            s["start"].cast("long").alias("start"),
+            s["end"].cast("long").alias("end"),
+        ),
     )
+    return inline_rows(df, kept, rows, "position")
 
 
 def sentence_risk(
@@ -316,12 +318,17 @@ def text_to_vector(col: str | Column, n: int = 256) -> Column:
 
 def erasure_rows(df: DataFrame, key: str, col: str, **kwargs) -> DataFrame:
     """One row per sentence with its risk, for inspection."""
-    scored = df.select(
-        key, F.posexplode(scored_sentences(col, **kwargs)).alias("position", "_s")
-    )
-    return scored.select(
-        key,
-        F.col("position").cast("long").alias("position"),
-        F.col("_s.text").alias("sentence"),
-        F.col("_s.risk").alias("risk"),
+    rows = F.transform(
+        scored_sentences(col, **kwargs),
+        lambda s, i: F.struct(
+            i.cast("long").alias("position"),
+            s["text"].alias("sentence"),
+            s["risk"].alias("risk"),
+        ),
     )
+    return inline_rows(df, [key], rows, "position")
+
+
+def span_rows(df: DataFrame, key: str, col: str) -> DataFrame:
+    """One row per detected span: ``key, entity_type, start, end``."""
+    return inline_rows(df, [key], pii_spans(col), "start")

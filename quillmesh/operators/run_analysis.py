@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.running import WIDTH, overlapped, running
+from quillmesh.session import cut_lineage
 
 _COMPARE = re.compile(r"^\s*(<=|>=|==|=|<|>)?\s*(.*?)\s*$")
 
@@ -196,6 +197,8 @@ def early_stop(
     )
     better = F.col("_best").isNull() | (score > F.col("_best"))
     marked = before.withColumn("_up", F.when(score.isNotNull() & better, F.col("round")))
+    # The second pass reads its input twice.
+    marked = cut_lineage(marked.select("run_id", "round", "value", "_up"))
     last = running(marked, ["run_id"], "round", {"_last": ("max", F.col("_up"))}, True, width)
     stop = F.isnan("value") | (F.col("round") - F.col("_last") >= patience)
     return last.filter(stop).groupBy("run_id").agg(F.min("round").alias("stop_round"))

@@ -27,14 +27,6 @@ def _grams(tokens: Column, n: int, joiner: str) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), joiner))
 
 
-def _char_grams(text: Column, n: int) -> Column:
-    count = F.length(text) - F.lit(n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-
-
 def _tag(order: int):
     return lambda g: F.struct(F.lit(order).alias("n"), g.alias("gram"))
 
@@ -49,25 +41,31 @@ def word_grams(col: str, orders: Sequence[int]) -> Column:
 
 def chrf_grams(col: str, chars: int, words: int) -> Column:
     """Character orders 1..chars without white space, then word orders (negative)."""
-    bare = F.regexp_replace(F.col(col), r"\s+", "")
+    # One entry per character: slicing an array does not rescan the text.
+    letters = F.regexp_extract_all(F.col(col), F.lit(r"\S"), F.lit(0))
 
     def build(v: Column) -> Column:
-        parts = [F.transform(_char_grams(v["c"], n), _tag(n)) for n in range(1, chars + 1)]
+        parts = [F.transform(_grams(v["c"], n, ""), _tag(n)) for n in range(1, chars + 1)]
         parts += [
             F.transform(_grams(v["w"], n, " "), _tag(-n)) for n in range(1, words + 1)
         ]
         return F.concat(*parts)
 
-    return let(F.struct(bare.alias("c"), ws_tokens(col).alias("w")), build)
+    return let(F.struct(letters.alias("c"), ws_tokens(col).alias("w")), build)
 
 
 def gram_counts(pairs: DataFrame, pred: Column, ref: Column) -> DataFrame:
-    """``pair_id, n, matched, n_pred, n_ref`` with clipped matches per order."""
+    """``pair_id, n, matched, n_pred, n_ref`` with clipped matches per order.
+
+    The texts are placed by pair before they are cut, which both aggregations can
+    use: the grams themselves never travel.
+    """
+    placed = pairs.select("pair_id", "pred", "ref").repartition("pair_id")
     sides = F.array(
         F.struct(F.lit(True).alias("p"), pred.alias("g")),
         F.struct(F.lit(False).alias("p"), ref.alias("g")),
     )
-    rows = pairs.select("pair_id", F.inline(sides)).select(
+    rows = placed.select("pair_id", F.inline(sides)).select(
         "pair_id", "p", F.inline("g")
     )
     per_gram = rows.groupBy("pair_id", "n", "gram").agg(

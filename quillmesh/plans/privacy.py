@@ -145,12 +145,12 @@ SELECT doc_id, entity_type, "start", "start" + len AS "end" FROM spans""",
 )
 def pii_spans(read):
     docs = read("documents").select("doc_id", "text")
-    found = privacy.detect_pii(docs, "text").select("doc_id", F.explode("pii").alias("s"))
+    found = privacy.span_rows(docs, "doc_id", "text")
     return found.select(
         "doc_id",
-        "s.entity_type",
-        F.col("s.start").cast("long").alias("start"),
-        F.col("s.end").cast("long").alias("end"),
+        "entity_type",
+        F.col("start").cast("long").alias("start"),
+        F.col("end").cast("long").alias("end"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions.positions import id_positions, prefix_weights
+from quillmesh.session import cut_lineage
 
 PASSAGES = "map<string,map<string,struct<page_content:string,index:bigint>>>"
 QA = (
@@ -122,8 +123,10 @@ def load_multihop(df: DataFrame, row_id: str) -> DataFrame:
         F.col("_t.title").alias("title"),
         F.col("_t.sentences").alias("sentences"),
     )
-    first = placed.groupBy("title").agg(
-        F.min("_at").alias("_at"), F.min_by("sentences", "_at").alias("sentences")
+    first = cut_lineage(
+        placed.groupBy("title").agg(
+            F.min("_at").alias("_at"), F.min_by("sentences", "_at").alias("sentences")
+        )
     )
     numbered = id_positions(first, "_at", pos="title_id", total=None, width=PAIRS_PER_ROW << 12)
     sized = prefix_weights(
