@@ -58,9 +58,11 @@ def gram_counts(pairs: DataFrame, pred: Column, ref: Column) -> DataFrame:
     """``pair_id, n, matched, n_pred, n_ref`` with clipped matches per order.
 
     The texts are placed by pair before they are cut, which both aggregations can
-    use: the grams themselves never travel.
+    use: the grams themselves never travel. The number of partitions is fixed, as
+    grams take many times the room of the texts that AQE would size them by.
     """
-    placed = pairs.select("pair_id", "pred", "ref").repartition("pair_id")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = pairs.select("pair_id", "pred", "ref").repartition(parts, "pair_id")
     sides = F.array(
         F.struct(F.lit(True).alias("p"), pred.alias("g")),
         F.struct(F.lit(False).alias("p"), ref.alias("g")),

@@ -74,5 +74,6 @@ def sanitize_documents(spark, sf_dir):
     """One file is one batch, which runs at the default threshold."""
     folder = _folder(spark)
     docs = _source(spark, sf_dir, "documents").select("doc_id", "text")
-    sanitize_stream(docs, "text", f"{folder}/out", f"{folder}/thresholds", f"{folder}/state").awaitTermination()
+    paths = [f"{folder}/{name}" for name in ("out", "thresholds", "state")]
+    sanitize_stream(docs, "text", *paths, key="doc_id").awaitTermination()
     return sanitized_columns(spark.read.parquet(f"{folder}/out"), "doc_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.operators.aggregation import privacy_threshold
 from quillmesh.operators.privacy import RISK_THRESHOLD, sanitize
+from quillmesh.session import spread
 
 STATE = "batch_id long, threshold double"
 
@@ -27,20 +28,25 @@ def read_threshold(spark: SparkSession, path: str, batch_id: int) -> float:
 
 
 def batch_sanitizer(
-    out_path: str, state_path: str, col: str, query: str | None = None
+    out_path: str,
+    state_path: str,
+    col: str,
+    query: str | None = None,
+    key: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: writes one folder per batch and its threshold.
 
     The folder name is the batch number and is overwritten on replay, which makes
     a retried batch harmless. The figures are taken from the written rows, so the
-    text is processed once.
+    text is processed once. With ``key`` a batch of few splits is spread by it.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         limit = read_threshold(spark, state_path, batch_id)
         target = f"{out_path}/batch_id={batch_id}"
-        cleaned = sanitize(batch, col, query, limit).drop(col)
+        rows = spread(batch, key) if key else batch
+        cleaned = sanitize(rows, col, query, limit).drop(col)
         cleaned.withColumn("used_threshold", F.lit(limit)).write.mode("overwrite").parquet(target)
         figures = privacy_threshold(spark.read.parquet(target))
         state = figures.select(F.lit(batch_id).cast("long").alias("batch_id"), "threshold")
@@ -56,10 +62,11 @@ def sanitize_stream(
     state_path: str,
     checkpoint: str,
     query: str | None = None,
+    key: str | None = None,
 ):
     """Start the stream; returns the streaming query."""
     return (
-        source.writeStream.foreachBatch(batch_sanitizer(out_path, state_path, col, query))
+        source.writeStream.foreachBatch(batch_sanitizer(out_path, state_path, col, query, key))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
