@@ -57,7 +57,9 @@ def bucket_positions(
     out = [(F.col("_off") + F.col("_rn") - 1).cast("long").alias(pos)]
     if total:
         out.append(F.col("_all").cast("long").alias(total))
-    joined = numbered.join(offsets.drop("_c"), ["_key", "_bucket"])
+    # Every row has its offset; an inner join would add a filter that computes the
+    # bucket once more.
+    joined = numbered.join(offsets.drop("_c"), ["_key", "_bucket"], "left")
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
 
@@ -83,10 +85,12 @@ def hash_positions(
 
     ``prefix`` hex digits give ``16**prefix`` buckets per key.
     """
-    h = seeded_hash(seed, row_id)
-    return bucket_positions(
-        df, keys, F.substring(h, 1, prefix), [h.asc(), F.col(row_id).asc()], pos, total
-    )
+    # 60 bits as a number: a quarter of the digest's size to shuffle and sort.
+    h = F.conv(F.substring(seeded_hash(seed, row_id), 1, 15), 16, 10).cast("long")
+    placed = df.withColumn("_hash", h)
+    bucket = F.shiftright(F.col("_hash"), 60 - 4 * prefix)
+    order = [F.col("_hash").asc(), F.col(row_id).asc()]
+    return bucket_positions(placed, keys, bucket, order, pos, total).drop("_hash")
 
 
 def id_positions(

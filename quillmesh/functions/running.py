@@ -58,7 +58,7 @@ def running(
     )
     for i, (fn, _) in enumerate(values.values()):
         tagged = tagged.withColumn(f"_l{i}", _AGG[fn](f"_v{i}").over(local))
-    joined = tagged.join(offsets, ["_key", "_blk"])
+    joined = tagged.join(offsets, ["_key", "_blk"], "left")
     outs = []
     for i, (name, (fn, _)) in enumerate(values.items()):
         a, b = F.col(f"_o{i}"), F.col(f"_l{i}")
