@@ -263,7 +263,7 @@ def erase_high_risk(
 
 
 def privacy_metadata(df: DataFrame, col: str, kept: str, masked: str) -> DataFrame:
-    """Densities, ratios and character counts from the columns of the eraser."""
+    """Densities, ratios and character counts from the columns of the erasure step."""
     chars = F.aggregate("_pii", F.lit(0), lambda a, s: a + s["end"] - s["start"])
     touched = F.greatest(F.lit(1), F.col("removed_count") + F.col("kept_count"))
     return df.select(
