@@ -226,14 +226,21 @@ def valid_mean(read):
 
 @query(
     "rollup_category_averages",
-    """WITH b AS (SELECT l_returnflag, l_quantity, l_discount, l_tax FROM lineitem),
+    """WITH b AS (SELECT l_returnflag, round(l_quantity)::BIGINT AS l_quantity, round(l_discount * 100)::BIGINT AS l_discount, round(l_tax * 100)::BIGINT AS l_tax FROM lineitem),
 a AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS l_quantity, avg(l_discount) AS l_discount, avg(l_tax) AS l_tax FROM b GROUP BY ALL
 UNION ALL SELECT NULL, count(*), avg(l_quantity), avg(l_discount), avg(l_tax) FROM b)
 SELECT l_returnflag, n, 'l_quantity' AS metric, round(l_quantity, 6) AS mean FROM a UNION ALL SELECT l_returnflag, n, 'l_discount', round(l_discount, 6) FROM a UNION ALL SELECT l_returnflag, n, 'l_tax', round(l_tax, 6) FROM a""",
 )
 def category(read):
+    # Whole numbers add up exactly in any order.
+    rows = read("lineitem").select(
+        "l_returnflag",
+        F.round("l_quantity").cast("long").alias("l_quantity"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("l_discount"),
+        F.round(F.col("l_tax") * 100).cast("long").alias("l_tax"),
+    )
     out = aggregation.category_averages(
-        read("lineitem"), "l_returnflag", ["l_quantity", "l_discount", "l_tax"]
+        rows, "l_returnflag", ["l_quantity", "l_discount", "l_tax"]
     )
     return out.select("l_returnflag", "n", "metric", *r6("mean"))
 

@@ -210,7 +210,7 @@ def judge_deepeval(read):
 # ---------------------------------------------------------------- predictions
 
 SQL_CLS = """cls AS (SELECT l_orderkey AS obj, l_linenumber, (l_partkey % 6)::INT AS label, (CASE WHEN l_suppkey % 4 = 0 THEN (l_partkey + l_linenumber) % 6 ELSE l_partkey % 6 END)::INT AS pred,
- l_discount AS loss, l_quantity FROM lineitem)"""
+ round(l_discount * 100)::BIGINT AS loss, l_quantity FROM lineitem)"""
 
 
 def classified(read):
@@ -222,7 +222,7 @@ def classified(read):
         "l_linenumber",
         label.cast("int").alias("label"),
         F.when(F.pmod("l_suppkey", F.lit(4)) == 0, off).otherwise(label).cast("int").alias("pred"),
-        F.col("l_discount").alias("loss"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("loss"),
         "l_quantity",
     )
 
@@ -299,11 +299,14 @@ def part_iou(read):
 
 @query(
     "metric_regression",
-    "SELECT l_returnflag, round(avg(pow(l_discount * 10 - l_tax * 12, 2)), 6) AS mse, round(avg(abs(l_discount * 10 - l_tax * 12)), 6) AS mae, round(sqrt(avg(pow(l_discount * 10 - l_tax * 12, 2))), 6) AS rmse FROM lineitem GROUP BY ALL",
+    """WITH g AS (SELECT l_returnflag, round(l_discount * 100)::BIGINT * 10 - round(l_tax * 100)::BIGINT * 12 AS g FROM lineitem)
+SELECT l_returnflag, round(avg(g * g), 6) AS mse, round(avg(abs(g)), 6) AS mae, round(sqrt(avg(g * g)), 6) AS rmse FROM g GROUP BY ALL""",
 )
 def regression(read):
     rows = read("lineitem").select(
-        "l_returnflag", (F.col("l_discount") * 10).alias("pred"), (F.col("l_tax") * 12).alias("label")
+        "l_returnflag",
+        (F.round(F.col("l_discount") * 100).cast("long") * 10).alias("pred"),
+        (F.round(F.col("l_tax") * 100).cast("long") * 12).alias("label"),
     )
     out = prediction_metrics.regression(rows, "label", "pred", ["l_returnflag"])
     return out.select("l_returnflag", *r6("mse", "mae", "rmse"))
@@ -311,10 +314,14 @@ def regression(read):
 
 @query(
     "metric_ratings",
-    "SELECT round(avg(abs(value - user_id % 30)), 6) AS mae, round(sqrt(avg(pow(value - user_id % 30, 2))), 6) AS rmse FROM events",
+    """WITH g AS (SELECT round(value * 100)::BIGINT - user_id % 30 * 100 AS g FROM events)
+SELECT round(avg(abs(g)), 6) AS mae, round(sqrt(avg(g * g)), 6) AS rmse FROM g""",
 )
 def ratings(read):
-    rows = read("events").select("value", F.pmod("user_id", F.lit(30)).alias("pred"))
+    rows = read("events").select(
+        F.round(F.col("value") * 100).cast("long").alias("value"),
+        (F.pmod("user_id", F.lit(30)) * 100).alias("pred"),
+    )
     return prediction_metrics.regression(rows, "value", "pred").select(*r6("mae", "rmse"))
 
 
