@@ -29,7 +29,7 @@ NONE = np.int32(1 << 30)
 #: Words of more bytes go through a heap, since scans are quadratic in the length.
 SHORT_WORD = 64
 #: Words that a worker remembers. Beyond, those of the current slice stay.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 SLICE = 2 << 20
 BLOCK_WORDS = 20_000
 
@@ -92,7 +92,6 @@ class Codec:
         self.odd = re.compile(f"[^{_PLAIN}]").search
         self.source, self.library = source, None
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     # -- merging ---------------------------------------------------------------
 
@@ -102,67 +101,78 @@ class Codec:
         at[at == len(self.codes)] = 0
         return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.ranks[at], NONE)
 
-    def merge_words(self, words: Sequence[bytes]) -> list[np.ndarray]:
-        """Token ids of every word (not empty)."""
-        out: list = [None] * len(words)
-        sizes = np.array([len(w) for w in words])
+    def merge_words(self, words: Sequence[bytes]) -> list[bytes]:
+        """Token ids of every word (not empty), as the bytes of int32 numbers."""
+        out: list = [b""] * len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
         for i in np.flatnonzero(sizes > SHORT_WORD):
-            out[i] = self._merge_long(words[i])
+            out[i] = self._merge_long(words[i]).tobytes()
         short = np.flatnonzero(sizes <= SHORT_WORD)
         short = short[np.argsort(sizes[short], kind="stable")]
         for k in range(0, len(short), BLOCK_WORDS):
-            own = short[k : k + BLOCK_WORDS]
-            for i, (ids, _) in zip(own, self._merge_block([words[i] for i in own], sizes[own])):
-                out[i] = ids
+            own = short[k : k + BLOCK_WORDS].tolist()
+            ids, _, at = self._merge_block([words[i] for i in own], sizes[own])
+            raw, at = ids.tobytes(), (at * 4).tolist()
+            for i, start, end in zip(own, at, at[1:]):
+                out[i] = raw[start:end]
         return out
 
     def merge_word(self, word: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of one short word and the byte at which each starts."""
-        return self._merge_block([word], np.array([len(word)]))[0]
+        ids, bounds, _ = self._merge_block([word], np.array([len(word)]))
+        return ids, bounds
 
-    def _merge_block(self, words: list[bytes], sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _merge_block(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Part ids and boundaries of all words on end, and where each word's start."""
         m, width = len(words), int(sizes.max())
         flat = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(sizes)
         row = np.repeat(np.arange(m), sizes)
-        col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        parts = np.full((m, width + 1), -1, np.int32)
+        col = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+        parts = np.full((m, width), -1, np.int32)
         parts[row, col] = self.inner[flat]
-        parts[np.arange(m), sizes - 1] = self.final[flat[np.cumsum(sizes) - 1]]
-        bounds = np.broadcast_to(np.arange(width + 1, dtype=np.int32), parts.shape).copy()
+        parts[np.arange(m), sizes - 1] = self.final[flat[ends - 1]]
+        bounds = np.broadcast_to(np.arange(width, dtype=np.int8), parts.shape)
+        # One column more than there are pairs, so that a row always has a minimum.
         ranks = np.full((m, width), NONE, np.int32)
-        ranks[:, :width] = self.pair_ranks(parts[:, :-1], parts[:, 1:])
-        left, live, out = sizes.copy(), np.arange(m), [None] * m
-        while len(live):
+        ranks[:, :-1] = self.pair_ranks(parts[:, :-1], parts[:, 1:])
+        left, live = sizes.copy(), np.arange(m)
+        done: list[tuple[np.ndarray, ...]] = []
+        while True:
             at = ranks.argmin(axis=1)
-            rows = np.arange(len(live))
-            best = ranks[rows, at]
+            best = ranks[np.arange(len(live)), at]
             going = best < NONE
             if not going.all():
-                for r in np.flatnonzero(~going):
-                    n = left[r]
-                    out[live[r]] = (parts[r, :n].copy(), bounds[r, :n].copy())
+                over = ~going
+                real = np.arange(parts.shape[1]) < left[over][:, None]
+                done.append((live[over], left[over], parts[over][real], bounds[over][real]))
                 parts, bounds, ranks = parts[going], bounds[going], ranks[going]
                 left, live, at, best = left[going], live[going], at[going], best[going]
-                rows = np.arange(len(live))
-                if not len(live):
-                    break
-            width = parts.shape[1] - 1
-            cols = np.arange(width)[None, :]
-            gone = cols + (cols > at[:, None])  # the boundary after `at` goes
-            parts = np.take_along_axis(parts, gone, 1)
-            bounds = np.take_along_axis(bounds, gone, 1)
-            parts[rows, at] = self.merged[best]
-            ranks = np.take_along_axis(ranks, gone[:, : width - 1], 1)
-            left -= 1
-            inner = at < width - 1
-            ranks[rows[inner], at[inner]] = self.pair_ranks(parts[rows[inner], at[inner]], parts[rows[inner], at[inner] + 1])
-            later = at > 0
-            ranks[rows[later], at[later] - 1] = self.pair_ranks(parts[rows[later], at[later] - 1], parts[rows[later], at[later]])
-            if ranks.shape[1] == 0:
-                for r in rows:
-                    out[live[r]] = (parts[r, : left[r]].copy(), bounds[r, : left[r]].copy())
+            if not len(live):
                 break
-        return out
+            rows = np.arange(len(live))
+            cols = np.arange(parts.shape[1] - 1)[None, :]
+            # The boundary after `at` goes: what stands behind it moves up.
+            stays = (cols <= at[:, None]) | np.zeros_like(cols, bool)
+            parts = np.where(stays, parts[:, :-1], parts[:, 1:])
+            bounds = np.where(stays, bounds[:, :-1], bounds[:, 1:])
+            ranks = np.where(stays, ranks[:, :-1], ranks[:, 1:])
+            parts[rows, at] = self.merged[best]
+            left = left - 1
+            follow = np.minimum(at + 1, parts.shape[1] - 1)
+            fresh = self.pair_ranks(parts[rows, at], parts[rows, follow])
+            ranks[rows, at] = np.where(follow > at, fresh, NONE)
+            later = np.flatnonzero(at > 0)
+            before = at[later] - 1
+            ranks[later, before] = self.pair_ranks(parts[later, before], parts[later, before + 1])
+        word = np.concatenate([d[0] for d in done])
+        count = np.concatenate([d[1] for d in done])
+        order = np.argsort(word, kind="stable")
+        source = np.cumsum(count) - count
+        at = np.zeros(m + 1, np.int64)
+        np.cumsum(count[order], out=at[1:])
+        pick = np.arange(at[-1]) + np.repeat(source[order] - at[:-1], count[order])
+        return np.concatenate([d[2] for d in done])[pick], np.concatenate([d[3] for d in done])[pick], at
 
     def _merge_long(self, word: bytes) -> np.ndarray:
         """The same merges for one long word, by a heap over a linked list."""
@@ -201,17 +211,20 @@ class Codec:
     # -- texts -----------------------------------------------------------------
 
     def _learn(self, words: list[str]) -> None:
-        """Put words of plain, lower-case characters into the cache."""
-        split = [self.pieces(w) for w in words]
-        self._learn_parts({p for own in split for p in own})
-        parts = self.parts
-        for w, own in zip(words, split):
-            self.words[w] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
-
-    def _learn_parts(self, wanted: set[str]) -> None:
-        new = [p for p in wanted if p not in self.parts]
-        for p, ids in zip(new, self.merge_words([p.encode() for p in new])):
-            self.parts[p] = ids.tobytes()
+        """Put words of plain, lower-case characters, and their pieces, into the cache."""
+        known, mixed, wanted = self.words, [], set()
+        for w in words:
+            if w.isalpha():
+                wanted.add(w)
+            else:
+                own = self.pieces(w)
+                mixed.append((w, own))
+                wanted.update(own)
+        new = [p for p in wanted if p not in known]
+        known.update(zip(new, self.merge_words([p.encode() for p in new])))
+        for w, own in mixed:
+            if len(own) > 1:
+                known[w] = b"".join([known[p] for p in own])
 
     def _odd_text(self, text: str) -> bytes:
         """A text outside the plain characters, split by the library."""
@@ -221,17 +234,11 @@ class Codec:
             self.library = Tokenizer.from_str(self.source)
         spelled = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         raw = [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in spelled if piece]
-        keys = [b.decode("utf-8", "surrogateescape") for b in raw]
-        new = {k: b for k, b in zip(keys, raw) if k not in self.parts}
-        for k, ids in zip(new, self.merge_words(list(new.values()))):
-            self.parts[k] = ids.tobytes()
-        return b"".join([self.parts[k] for k in keys])
+        return b"".join(self.merge_words(raw))
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Token ids (int32) of every text."""
         full = len(self.words) > CACHE_WORDS
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {}
         out: list = [None] * len(texts)
         plain, where = [], []
         for i, text in enumerate(texts):
