@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["url_filter", "bpe"]
+MODULES = ["url_filter", "bpe", "quality"]
 
 
 def _load():

@@ -1,6 +1,6 @@
 """Words and word shingles of whole texts as 64-bit hashes, by numpy.
 
-Words are runs of bytes other than space and 0x09-0x0D; A-Z count as a-z. A word's
+Words are runs of bytes other than space and 0x09-0x0D. A word's
 hash is a polynomial in an odd base over random byte values, a shingle's the same
 over the hashes of its words.
 """
@@ -29,14 +29,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _tables() -> dict:
     rng = np.random.default_rng(_SEED)
-    values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+    exact = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+    values = exact.copy()
     for c in range(65, 91):
         values[c] = values[c + 32]
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
     base = int(rng.integers(1 << 62, 1 << 63)) | 1
     inverse = pow(base, -1, 1 << 64)
-    return {"values": values, "space": space, "base": base, "inverse": inverse, "n": 0}
+    return {"values": values, "exact": exact, "space": space, "base": base, "inverse": inverse, "n": 0}
 
 
 def _powers(n: int) -> dict:
@@ -52,7 +53,7 @@ def _powers(n: int) -> dict:
     return t
 
 
-def _block_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_words(data: np.ndarray, starts: np.ndarray, values: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and the number of words before each start."""
     t = _powers(len(data) + 1)
     word = ~t["space"][data]
@@ -65,21 +66,24 @@ def _block_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     begin = np.flatnonzero(first)
     end = np.flatnonzero(last) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(t["values"][data] * t["base_pow"][: len(data)], out=sums[1:])
+    np.cumsum(t[values][data] * t["base_pow"][: len(data)], out=sums[1:])
     hashes = mix((sums[end] - sums[begin]) * t["inverse_pow"][begin] + (end - begin).astype(np.uint64))
     return hashes, np.searchsorted(begin, starts)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and where each text's words start.
 
+    With ``fold`` A-Z count as a-z.
+
     A single long text is cut into blocks at white space, so memory beyond the
     hashes themselves does not grow with its length.
     """
+    values = "values" if fold else "exact"
     if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
     if len(starts) > 2 or len(data) <= 2 * BLOCK:
-        return _block_words(data, starts)
+        return _block_words(data, starts, values)
     space, parts, at = task_cache("shingle_tables", _tables)["space"], [], 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
@@ -90,7 +94,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
                 break
             end = min(len(data), end + BLOCK)
         piece = data[at:end]
-        parts.append(_block_words(piece, np.array([0, len(piece)]))[0])
+        parts.append(_block_words(piece, np.array([0, len(piece)]), values)[0])
         at = end
     hashes = np.concatenate(parts)
     return hashes, np.array([0, len(hashes)])
