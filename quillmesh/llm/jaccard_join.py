@@ -284,9 +284,11 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
     """Links of every block, as (a, b) with b the smallest document that a hangs on there."""
 
     def close(key, parts: list[list]) -> pa.RecordBatch:
+        alone = key[0] == key[1] and key[2] == key[3]
+        if not parts[0] or not alone and not parts[1]:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
         ids = np.array([r[0] for side in parts for r in side], np.int64)
         one, two = ([unpack_set(r[1]) for r in side] for side in parts)
-        alone = key[0] == key[1] and key[2] == key[3]
         i, j = links(one, one if alone else two, percent)
         j = j if alone else j + len(one)
         a, b = _forest(ids, i, j)
@@ -298,11 +300,11 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
             cols = [batch.column(c).to_pylist() for c in ("lo", "hi", "i", "j", "side", "id", "set")]
             for *key, side, who, raw in zip(*cols):
                 if key != now:
-                    if now is not None and parts[0] and (parts[1] or len(parts[0]) > 1):
+                    if now is not None:
                         yield close(now, parts)
                     now, parts = key, [[], []]
                 parts[side].append((who, raw))
-        if now is not None and parts[0] and (parts[1] or len(parts[0]) > 1):
+        if now is not None:
             yield close(now, parts)
 
     keys = ["lo", "hi", "i", "j"]
