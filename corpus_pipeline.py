@@ -1,16 +1,66 @@
-"""The corpus pipeline; its stages come with the operators they call."""
+"""From raw documents to packed sequences: the stages of a training-data pipeline.
+
+Every stage takes all rows its predecessor kept. Texts that line dedup or suffix-array
+dedup empties stay as empty documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmesh.llm import jaccard_join, line_dedup, packing, quality, suffix_dedup
+from quillmesh.llm.store import stored
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the texts as they are now, where documents have it."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the trees, fitted on ``labels``, keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.fit_quality(docs, labels))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the boilerplate lines of their source."""
+    return _measured(line_dedup.drop_boilerplate(docs).select(*docs.columns))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the document with the smallest id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without strings of 400 bytes that occur more than once."""
+    return _measured(suffix_dedup.without_repeats(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
 
-STAGES = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", drop_lines),
+    ("jaccard_join", one_of_near_copies),
+    ("suffix_dedup", drop_repeats),
+    ("packing", pack),
+]
 
+#: SQL has neither the trees nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is stored before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs)
     return docs

@@ -47,6 +47,18 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def free_names(taken, wanted) -> list[str]:
+    """``wanted``, with an underscore added to each until no name in ``taken`` is the same
+    (in any case, as Spark compares names)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def task_cache(key: str, make: Callable[[], object]):
     """An object that lives as long as the Python worker.
 

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import map_arrow, query, table
+from quillmesh.llm.common import free_names, map_arrow, query, table
 from quillmesh.llm.shingles import SHINGLE, shingle_sets
 from quillmesh.llm.store import components, is_member, membership, stored
 
@@ -361,6 +361,22 @@ def near_duplicates(
     return out.select(F.col("_id").alias(row_id), "n_shingles", F.coalesce("component", "_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, row_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose document has the smallest id of its component.
+
+    Of several rows of one id the one with the smallest text hash stays; rows with a
+    null id all stay.
+    """
+    found = link_components(docs, row_id, text, percent)
+    gone = found.filter("node <> component").select(F.col("node").alias("_node"))
+    left = docs.join(gone, docs[row_id].cast("long") == gone["_node"], "left_anti")
+    rn = free_names(docs.columns, ["_rn"])[0]
+    null = F.when(F.col(row_id).isNull(), F.xxhash64(text))
+    w = Window.partitionBy(F.col(row_id), null).orderBy(F.xxhash64(text))
+    first = left.withColumn(rn, F.row_number().over(w)).filter((F.col(rn) == 1) | F.col(row_id).isNull())
+    return first.select(*docs.columns)
+
+
 ORACLE = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

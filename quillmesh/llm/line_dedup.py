@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import query, table
+from quillmesh.llm.common import free_names, query, table
 from quillmesh.session import cut_lineage
 
 #: A line on more than this share of its site's pages goes, if on so many pages at least.
@@ -52,13 +52,14 @@ def drop_boilerplate(
     docs: DataFrame, site: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
     broadcast_lines: int = BROADCAST_LINES,
 ) -> DataFrame:
-    """``docs`` without boilerplate lines, and ``_n_lines`` and ``_n_dropped`` per row.
+    """``docs`` without boilerplate lines, and ``n_lines`` and ``n_dropped`` per row.
 
     Lines are the parts between newlines, compared without blanks at their ends; blank
     lines are never counted nor dropped and count in neither figure. Each row is a page,
     repeated rows count as often as they occur. Rows without a site form one site; a
     null text stays null with no lines, a text of boilerplate only becomes what its
-    blank lines leave. Other columns, whatever their names, come back unchanged.
+    blank lines leave. Other columns, whatever their names, come back unchanged; a
+    result whose name they have already gets underscores added.
     """
     found = cut_lineage(boilerplate_lines(docs, site, text, ratio, min_pages))
     n = found.agg(F.sum(F.size("_lines"))).first()[0] or 0  # one number
@@ -79,7 +80,8 @@ def drop_boilerplate(
     own = [F.col(f"_row.c{i}").alias(c) if i != place else F.array_join("_stays", "\n").alias(c) for i, c in enumerate(docs.columns)]
     count = F.coalesce(F.size(F.filter("_all", _not_blank)), F.lit(0)).cast("long")
     gone = F.coalesce(F.size("_all") - F.size("_stays"), F.lit(0)).cast("long")
-    return cut.select(*own, F.greatest(count, F.lit(0)).alias("_n_lines"), gone.alias("_n_dropped"))
+    n_lines, n_dropped = free_names(docs.columns, ["n_lines", "n_dropped"])
+    return cut.select(*own, F.greatest(count, F.lit(0)).alias(n_lines), F.greatest(gone, F.lit(0)).alias(n_dropped))
 
 
 ORACLE = f"""
@@ -102,4 +104,4 @@ FROM cut"""
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source."""
     out = drop_boilerplate(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"))
+    return out.select("doc_id", "source", "text", "n_lines", "n_dropped")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import map_arrow, query, slices, table, task_cache
+from quillmesh.llm.common import free_names, map_arrow, query, slices, table, task_cache
 from quillmesh.llm.shingles import shingle_hashes, word_hashes
 
 #: Labelled rows that the model is fitted on at most: those with the smallest md5 of
@@ -254,28 +254,34 @@ def judge_quality(
     ``REPEAT_PERCENT`` % of its words in repeated windows; a null or empty text has no
     words and fails. Others stay if the trees give them ``keep_at`` or more. Rows are
     judged alone: copies and repeated ids come back as often as they came. With
-    ``carry`` all columns of ``docs`` come back too, in front; a column of ``docs``
-    with the name of a result is then an error, without it such columns are not read.
+    ``carry`` all columns of ``docs`` come in front of the results, and a result whose
+    name they have already gets underscores added.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     kept = list(docs.columns) if carry else [row_id]
-    if clash := set(kept) & {*BASE, "base_failed", "score", "kept"}:
-        raise ValueError(f"columns with the name of a result: {sorted(clash)}")
+    results = free_names(kept, [*BASE, "base_failed", "score", "kept"])
+    inner = [f"c{i}" for i in range(len(kept))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, x = document_stats(batch.column("_text"))
             failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > REPEAT_PERCENT * base[:, 0])
             score = model.score(x)
-            cols = [batch.column(c) for c in kept] + [pa.array(c) for c in base.T]
+            cols = [batch.column(c) for c in inner] + [pa.array(c) for c in base.T]
             cols += [pa.array(failed), pa.array(score), pa.array(~failed & (score >= keep_at))]
-            yield pa.RecordBatch.from_arrays(cols, [*kept, *BASE, "base_failed", "score", "kept"])
+            yield pa.RecordBatch.from_arrays(cols, [*inner, *(f"r{i}" for i in range(len(results)))])
 
-    schema = ", ".join(
-        [*(f"`{c}` {kinds[c]}" for c in kept), *(f"{c} bigint" for c in BASE),
-         "base_failed boolean, score double, kept boolean"]
-    )
-    return map_arrow(docs.select(*(docs[c] for c in kept), docs[text].alias("_text")), run, schema)
+    sorts = ["bigint"] * len(BASE) + ["boolean", "double", "boolean"]
+    schema = ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(inner, kept)), *(f"r{i} {k}" for i, k in enumerate(sorts))])
+    front = [docs[c].alias(n) for n, c in zip(inner, kept)]
+    out = map_arrow(docs.select(*front, docs[text].alias("_text")), run, schema)
+    return out.toDF(*kept, *results)
+
+
+def keep_good(docs: DataFrame, model: Trees, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge_quality`` keeps, with their columns."""
+    out = judge_quality(docs, model, row_id, text, carry=True)
+    return out.filter(F.col(f"`{out.columns[-1]}`")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 @query("op8_quality")

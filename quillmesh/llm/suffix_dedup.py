@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import map_arrow, query, slices, table, task_cache
+from quillmesh.llm.common import free_names, map_arrow, query, slices, table, task_cache
 from quillmesh.llm.shingles import mix
 from quillmesh.llm.store import is_member, membership, stored
 
@@ -337,14 +337,12 @@ def remove_repeats(
     remaining bytes as text, characters that were cut in part left out). A null or short
     text stays whole (a null one is empty, ``kept`` null). Rows are texts of their own:
     repeated rows of ``length`` bytes or more remove each other. With ``carry`` all
-    columns of ``docs`` come in front; names of results must then be free. Both sides
-    of ``hot`` give the same rows.
+    columns of ``docs`` come in front, and a result whose name they have already gets
+    underscores added. Both sides of ``hot`` give the same rows.
     """
     spark = docs.sparkSession
     names = list(docs.columns) if carry else [row_id]
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
-    if clash := set(names) & set(results):
-        raise ValueError(f"columns with the name of a result: {sorted(clash)}")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     spans = repeated_spans(docs, row_id, text, length, hot)
     merged = stored(spans.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("found")))
@@ -405,7 +403,14 @@ def remove_repeats(
     both = left.join(merged, left["_id"].eqNullSafe(merged["id"]) & (left["_key"] == merged["key"]), "left")
     some = map_arrow(both.select(*carried, "_text", "found"), cut, f"{head}, {last}")
     out = map_arrow(own, untouched, f"{head}, {last}").unionByName(some)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *results)
+    return out.toDF(*names, *free_names(names, results))
+
+
+def without_repeats(docs: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with what ``remove_repeats`` leaves of each text in its place."""
+    out = remove_repeats(docs, row_id, text, length, carry=True)
+    own = [F.col(f"`{out.columns[-1]}`").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*own)
 
 
 @query("op5_suffix_dedup")

@@ -75,6 +75,8 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, J.near_duplicates(docs).collect()), key=str) == brute(rows)
     assert J.near_duplicates(docs.limit(0)).count() == 0
+    stay = sorted((r.doc_id for r in J.one_of_each(docs).collect()), key=str)
+    assert stay == sorted([0, 1, 2, 3, 4, 6, 7, None], key=str)
 
 
 def test_prefix_bounds():

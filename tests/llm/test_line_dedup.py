@@ -34,10 +34,11 @@ def test_brute_force(spark, broadcast):
     for ratio, least in ((0.3, 5), (0.2, 1), (0.9, 2)):
         got = L.drop_boilerplate(docs, ratio=ratio, min_pages=least, broadcast_lines=broadcast)
         assert Counter(map(tuple, got.collect())) == Counter(brute(rows, ratio, least))
-    assert got.columns == ["doc_id", "source", "text", "_n_lines", "_n_dropped"]
+    assert got.columns == ["doc_id", "source", "text", "n_lines", "n_dropped"]
     assert L.drop_boilerplate(docs.limit(0), broadcast_lines=broadcast).count() == 0
 
 
 def test_other_columns(spark):
-    docs = spark.createDataFrame([(1, "m", "a", 7)], "`_lines` int, `_site` string, text string, source int")
-    assert [tuple(r) for r in L.drop_boilerplate(docs).collect()] == [(1, "m", "a", 7, 1, 0)]
+    docs = spark.createDataFrame([(1, "m", "a", 7)], "`_lines` int, `n_lines` string, text string, source int")
+    out = L.drop_boilerplate(docs)
+    assert [tuple(r) for r in out.collect()] == [(1, "m", "a", 7, 1, 0)] and out.columns[4:] == ["n_lines_", "n_dropped"]

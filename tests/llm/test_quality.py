@@ -3,7 +3,6 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from quillmesh.llm import quality
@@ -63,10 +62,10 @@ def test_documents(spark):
     model = quality.fit_quality(docs, labels)
     got = Counter(tuple(r)[:6] for r in quality.judge_quality(docs, model).collect())
     assert got == Counter((i, *brute(t)) for i, t, _ in rows)
-    with pytest.raises(ValueError):
-        quality.judge_quality(docs, model, carry=True)
-    out = quality.judge_quality(docs.drop("score"), model, carry=True)
-    assert out.filter("base_failed and kept").count() == 0 and out.columns[:2] == ["doc_id", "text"]
+    out = quality.judge_quality(docs, model, carry=True)
+    assert out.filter("base_failed and kept").count() == 0
+    assert out.columns == ["doc_id", "text", "score", *quality.BASE, "base_failed", "score_", "kept"]
+    assert quality.keep_good(docs, model).columns == docs.columns
     assert quality.judge_quality(docs.limit(0), model).count() == 0
 
 

@@ -55,8 +55,10 @@ def test_odd_rows(spark):
     assert got.columns[:3] == ["doc_id", "text", "id"]
     want = brute([r[1] for r in rows], 400)
     assert Counter((r.doc_id, r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == Counter((i, n, *w) for (i, _, n), w in zip(rows, want))
-    with pytest.raises(ValueError):
-        S.remove_repeats(docs.withColumn("kept", F.lit(1)), carry=True)
+    clash = S.remove_repeats(docs.withColumn("kept", F.lit(1)), carry=True)
+    assert clash.columns[3:] == ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_"]
+    left = {(r.doc_id, r.id): r.text for r in S.without_repeats(docs).collect()}
+    assert left[None, "c"] == "\u00e9" and left[1, "a"] == "" and left[3, "d"] is None
     assert S.remove_repeats(docs.limit(0)).count() == 0
 
 
