@@ -2,22 +2,20 @@
 
 A document is the set of its word shingles' hashes, ordered by hash. With similarity
 0.8 two sets share at least ``need = ceil(0.8 n)`` shingles, hence at least ``l`` within
-their first ``n - need + l``, for every ``l`` up to ``need``. One prefix length per
-document follows from what its shingles cost:
+their first ``n - need + l``, for every ``l`` up to ``need``. What a document's shingles
+cost, by the number of documents that have them in their longest prefix, decides on l:
 
-0. plain: all shingles of the 1-prefix are rare (few documents have them in theirs).
-1. lengthened: some are frequent. The prefix grows until it has ``MATCHES`` shingles
-   more than its frequent ones allow for, and that many rare shared ones are required.
-2. hot: even the longest prefix is mostly frequent shingles, as in large groups of
-   copies. All of it counts, and its whole surplus of shared shingles is required.
+1. lengthened: with l shared shingles in a prefix that has f frequent ones, l - f rare
+   ones are shared. The prefix grows to the l with the most, and as many are required.
+2. hot: no l leaves ``MATCHES`` rare ones, as in large groups of copies. All shingles of
+   the longest prefix count, and its whole surplus of shared ones is required.
 
-A pair with a plain member is found by a rare shingle of both 1-prefixes, one with a
-lengthened member by rare shingles of the longer prefixes, and hot pairs among hot
-documents alone, so that a frequent passage never meets all documents that hold it.
+Pairs with a lengthened member are found by rare shingles only, hot pairs among hot
+documents alone, so a frequent passage never meets all documents that hold it.
 
 Candidates are not listed pair by pair. Documents are clustered by their smallest
-shared shingle; a document meets a cluster if it shares as many shingles with the
-cluster as a link would take. The sets of two such clusters, in blocks of bounded size,
+shared shingle and their size; a document meets a cluster of a like size if it shares
+as many shingles with the cluster as a link would take. The sets of two such clusters, in blocks of bounded size,
 are compared by exact intersections, and every block passes on a forest of its links.
 Membership filters of fixed size only keep shingles without a partner from the
 exchanges; all decisions that need counts are made on exact counts.
@@ -41,6 +39,8 @@ PERCENT = 80
 #: A shingle in more prefixes than this is frequent.
 FREQUENT = 32
 MATCHES = 2
+#: Ratio of two classes of set sizes, as a multiple of the largest ratio that a link allows.
+CLASS = 1.01
 #: Shingles of one side of a block.
 BLOCK = 150_000
 _SET_BYTES = 6
@@ -68,19 +68,14 @@ class Prefixes:
     def __init__(self, percent: int):
         self.percent = percent
 
-    def base(self, h: np.ndarray) -> np.ndarray:
-        n = len(h)
-        return h[: n - need(n, self.percent) + 1] if n else h
-
     def extended(self, h: np.ndarray) -> np.ndarray:
         n = len(h)
         return h[: min(n, n - need(n, self.percent) + longest(n))] if n else h
 
-    def hot(self, h: np.ndarray, frequent: np.ndarray) -> bool:
-        """No l gives ``MATCHES`` rare shared shingles; ``frequent`` is of ``extended``."""
-        n, most = len(h), surplus(len(h), self.percent)
-        upto = np.cumsum(frequent)[n - need(n, self.percent) :][:most]
-        return not (np.arange(1, len(upto) + 1) - upto >= MATCHES).any()
+    def rare_shared(self, n: int, frequent: np.ndarray) -> int:
+        """Rare shingles that a link takes, by the best l; ``frequent`` is of ``extended``."""
+        upto = np.cumsum(frequent)[n - need(n, self.percent) :][: surplus(n, self.percent)]
+        return int((np.arange(1, len(upto) + 1) - upto).max())
 
 
 def _postings(docs: DataFrame, pick, schema: str) -> DataFrame:
@@ -116,91 +111,72 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _lists(postings: DataFrame, frequent: int) -> DataFrame:
-    """Shingles of two postings or more: df and a digest of the documents they are in."""
-    who = F.xxhash64("id")
-    # The sum tells lists apart in which repeated ids cancel out.
-    digest = F.xxhash64(F.bit_xor(who), F.sum(F.pmod(who, F.lit(1 << 31))))
-    found = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), digest.alias("list"))
-    return found.filter("df > 1").withColumn("often", F.col("df") > frequent)
-
-
-def _one_per_list(lists: DataFrame) -> DataFrame:
-    """Shingles that are in the same documents stand for one another: one with a weight."""
-    return lists.groupBy("list", "df", "often").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight"))
-
-
 def candidate_rows(docs: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """(id, kind, n, key, weight): the shingles by which documents may meet.
+    """(id, kind, space, n, size, wanted, key, weight): the shingles by which documents meet.
 
-    ``docs`` has ``_id`` (bigint, not null) and ``_text``.
+    ``docs`` has ``_id`` (bigint, not null) and ``_text``. Shingles that are in the same
+    documents stand for one another: the smallest comes with their number as weight.
     """
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
+    share = docs.sparkSession.sparkContext.broadcast
     p = Prefixes(percent)
-    first = stored(
-        _one_per_list(_lists(_postings(docs, lambda h: (_signed(p.base(h)),) if len(h) else None, "id bigint, token bigint"), frequent)
-                      .withColumn("list", F.when(F.col("often"), F.col("token")).otherwise(F.col("list"))))
+    postings = _postings(docs, lambda h: (_signed(p.extended(h)),) if len(h) else None, "id bigint, token bigint")
+    who = F.xxhash64("id")
+    # The sum tells lists apart in which repeated ids cancel out.
+    digest = F.xxhash64(F.bit_xor(who), F.sum(F.pmod(who, F.lit(1 << 31))))
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), digest.alias("list")).filter("df > 1")
+    often = F.col("df") > frequent
+    # All shingles of a list are in each of its documents, so no array outgrows a text.
+    lists = stored(
+        shared.groupBy("list", "df").agg(
+            F.min("token").alias("token"), F.count(F.lit(1)).alias("weight"),
+            F.collect_list(F.when(often, F.col("token"))).alias("tokens"),
+        ).withColumn("often", often)
     )
-    keys = [F.col("token")]
-    rare1 = share(membership(first.filter("not often"), *keys))
-    often1 = share(membership(first.filter("often"), *keys))
-
-    def lengthened(h):
-        if not len(h) or not is_member(often1.value, p.base(h)).any():
-            return None
-        return (_signed(p.extended(h)),)
-
-    lists2 = stored(_lists(_postings(docs, lengthened, "id bigint, token bigint"), frequent))
-    second = stored(_one_per_list(lists2))
-    often2 = share(membership(lists2.filter("often"), *keys))
-    rare2 = share(membership(second.filter("not often"), *keys))
-    hot2 = share(membership(second.filter("often"), *keys))
+    rare = share(membership(lists.filter("not often"), F.col("token")))
+    hot = share(membership(lists.filter("often"), F.col("token")))
+    frequent_ = share(membership(lists.select(F.explode("tokens").alias("token")), F.col("token")))
 
     def put_forward(h):
         if not len(h):
             return None
-        base = p.base(h)
-        mine = base[is_member(rare1.value, base)]
-        tokens, space, kind = [mine], [np.zeros(len(mine), np.int8)], 0
-        if is_member(often1.value, base).any():
-            long = p.extended(h)
-            frequent_ = is_member(often2.value, long)
-            kind = 2 if p.hot(h, frequent_) else 1
-            more = long[is_member(rare2.value, long) & ~frequent_]
-            if kind == 2:
-                more = np.concatenate([more, long[is_member(hot2.value, long) & frequent_]])
-            tokens.append(more)
-            space.append(np.ones(len(more), np.int8))
+        long = p.extended(h)
+        wanted = p.rare_shared(len(h), is_member(frequent_.value, long))
+        kind = 1 if wanted >= MATCHES else 2
+        tokens = [long[is_member(rare.value, long)]]
+        if kind == 2:
+            tokens.append(long[is_member(hot.value, long)])
         flat = np.concatenate(tokens)
         if not len(flat):
             return None
         m = len(flat)
-        return _signed(flat), np.concatenate(space), np.full(m, kind, np.int8), np.full(m, len(h), np.int32)
+        space = np.repeat(np.arange(1, len(tokens) + 1, dtype=np.int8), [len(x) for x in tokens])
+        size = int(np.log(len(h)) / np.log(CLASS * 100 / percent))
+        return (_signed(flat), space, *(np.full(m, x, np.int32) for x in (kind, len(h), size, max(wanted, 1))))
 
-    rows = _postings(docs, put_forward, "id bigint, token bigint, space tinyint, kind tinyint, n int")
-    known = first.filter("not often").select("token", "weight", F.lit(0).cast("tinyint").alias("space")).unionByName(
-        second.select("token", "weight", F.lit(1).cast("tinyint").alias("space"))
-    )
-    met = rows.join(known, ["token", "space"])
-    return met.select("id", "kind", "n", F.xxhash64("space", "token").alias("key"), "weight")
+    rows = _postings(docs, put_forward, "id bigint, token bigint, space tinyint, kind int, n int, size int, wanted int")
+    # Space 1 holds rare shingles, space 2 frequent ones.
+    known = lists.select("token", "weight", F.when(F.col("often"), 2).otherwise(1).cast("tinyint").alias("space"))
+    return rows.join(known, ["token", "space"]).withColumn("key", F.xxhash64("space", "token")).drop("token")
 
 
 def _meetings(rows: DataFrame, percent: int) -> DataFrame:
     """(id, n, lo, hi, side): documents and the pairs of clusters in which they are compared."""
-    own = rows.groupBy("id", "kind").agg(F.xxhash64(F.min("key"), "kind").alias("cluster"))
-    rows = stored(rows.join(own, ["id", "kind"]))
-    there = rows.select("key", F.col("cluster").alias("other"), F.col("kind").alias("other_kind")).distinct()
-    met = rows.join(there, "key").groupBy("id", "kind", "cluster", "other", "other_kind").agg(
-        F.sum("weight").alias("shared"), F.min("n").alias("n")
-    )
+    who = ["id", "kind", "size"]
+    own = rows.groupBy(*who).agg(F.xxhash64(F.min("key"), "kind", "size").alias("cluster"))
+    rows = stored(rows.join(own, who))
+    there = rows.select(
+        "key", F.col("cluster").alias("other"), F.col("kind").alias("other_kind"), F.col("size").alias("other_size")
+    ).distinct()
+    part = lambda *spaces: F.sum(F.when(F.col("space").isin(*spaces), F.col("weight")).otherwise(0))
+    # Classes of sizes that a link allows are neighbours.
+    met = rows.join(there, "key").filter("abs(size - other_size) <= 1").groupBy(*who, "cluster", "other", "other_kind")
+    met = met.agg(part(1).alias("rare"), part(1, 2).alias("all"), F.min("n").alias("n"), F.min("wanted").alias("wanted"))
     least = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
     again = F.ceil(least * percent / F.lit(100)).cast("int")
     hot = F.greatest(F.lit(1), F.least(F.lit(1) + F.greatest(F.floor(least / 10).cast("int"), F.lit(3)), again))
-    plain = (F.col("kind") == 0) | (F.col("other_kind") == 0)
     both_hot = (F.col("kind") == 2) & (F.col("other_kind") == 2)
-    wanted = F.when(plain, 1).when(both_hot, hot).otherwise(MATCHES)
-    return met.filter(F.col("shared") >= wanted).select(
+    enough = F.when(both_hot, F.col("all") >= hot).otherwise(F.col("rare") >= F.col("wanted"))
+    return met.filter(enough).select(
         "id", "n", F.least("cluster", "other").alias("lo"), F.greatest("cluster", "other").alias("hi"),
         F.when(F.col("cluster") > F.col("other"), 1).otherwise(0).alias("side"),
     )

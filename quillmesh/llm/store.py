@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quillmesh.session import cut_lineage, ensure_checkpoint_dir
 
-#: Bits of a membership filter (2 MB). Fixed: with more members it lets more through.
-FILTER_BITS = 1 << 24
+#: Bits of a membership filter (8 MB). Fixed: with more members it lets more through.
+FILTER_BITS = 1 << 26
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -22,12 +22,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def membership(df: DataFrame, *keys: Column, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bit array in which the low bits of every key (bigint) are set.
+    """Bit array in which two bits are set for every key (bigint), by its lower halves.
 
     It only spares rows an exchange: whoever uses it must bear false positives. Its
     size is fixed; rows are combined per word before they reach the driver.
     """
-    each = df.select(F.explode(F.array(*keys)).alias("k")).select(F.expr(f"k & {bits - 1}L").alias("k"))
+    each = df.select(F.explode(F.array(*keys)).alias("k"))
+    low, next_ = F.expr(f"k & {bits - 1}L"), F.expr(f"shiftrightunsigned(k, {bits.bit_length() - 1}) & {bits - 1}L")
+    each = each.select(F.explode(F.array(low, next_)).alias("k"))
     words = each.groupBy(F.shiftright("k", 6).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(k & 63 AS int))")).alias("b")
     )
@@ -39,8 +41,11 @@ def membership(df: DataFrame, *keys: Column, bits: int = FILTER_BITS) -> np.ndar
 
 def is_member(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For unsigned 64-bit keys."""
-    k = keys & np.uint64(len(words) * 64 - 1)
-    return (words[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) == 1
+    bits = len(words) * 64
+    out = np.ones(len(keys), bool)
+    for k in (keys & np.uint64(bits - 1), (keys >> np.uint64(bits.bit_length() - 1)) & np.uint64(bits - 1)):
+        out &= (words[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1) == 1
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
