@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["url_filter", "bpe", "quality", "language_id", "packing", "fingerprints", "line_dedup", "jaccard_join", "suffix_dedup"]
+MODULES = [
+    "url_filter", "bpe", "quality", "language_id", "packing", "fingerprints", "line_dedup", "jaccard_join",
+    "suffix_dedup", "class_lm",
+]
 
 
 def _load():

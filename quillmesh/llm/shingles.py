@@ -53,7 +53,7 @@ def _powers(n: int) -> dict:
     return t
 
 
-def _block_words(data: np.ndarray, starts: np.ndarray, values: str) -> tuple[np.ndarray, np.ndarray]:
+def _block_words(data: np.ndarray, starts: np.ndarray, values: str, tails: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and the number of words before each start."""
     t = _powers(len(data) + 1)
     word = ~t["space"][data]
@@ -68,13 +68,18 @@ def _block_words(data: np.ndarray, starts: np.ndarray, values: str) -> tuple[np.
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(t[values][data] * t["base_pow"][: len(data)], out=sums[1:])
     hashes = mix((sums[end] - sums[begin]) * t["inverse_pow"][begin] + (end - begin).astype(np.uint64))
+    if tails is not None:
+        two = np.where(end - begin > 1, data[np.maximum(end - 2, 0)], 0).astype(np.uint16)
+        tails.append(two << 8 | data[end - 1])
     return hashes, np.searchsorted(begin, starts)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, starts: np.ndarray, fold: bool = True, tails: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and where each text's words start.
 
-    With ``fold`` A-Z count as a-z.
+    With ``fold`` A-Z count as a-z. ``tails`` takes arrays of the words' last two bytes.
 
     A single long text is cut into blocks at white space, so memory beyond the
     hashes themselves does not grow with its length.
@@ -83,7 +88,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, fold: bool = True) -> tupl
     if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
     if len(starts) > 2 or len(data) <= 2 * BLOCK:
-        return _block_words(data, starts, values)
+        return _block_words(data, starts, values, tails)
     space, parts, at = task_cache("shingle_tables", _tables)["space"], [], 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
@@ -94,7 +99,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, fold: bool = True) -> tupl
                 break
             end = min(len(data), end + BLOCK)
         piece = data[at:end]
-        parts.append(_block_words(piece, np.array([0, len(piece)]), values)[0])
+        parts.append(_block_words(piece, np.array([0, len(piece)]), values, tails)[0])
         at = end
     hashes = np.concatenate(parts)
     return hashes, np.array([0, len(hashes)])

@@ -37,7 +37,7 @@ from quillmesh.llm.store import is_member, membership, stored
 
 LENGTH = 400
 #: Contexts of an anchor beyond which its windows are dealt out one by one.
-HOT = 4096
+HOT = 32768
 #: Text bytes ranked at once; small, so that the arrays stay in the processor's cache.
 SLICE = 1 << 18
 CHUNK = 4 << 20
@@ -110,21 +110,22 @@ class Ranks:
         own += (high - at).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         return mix(own)
 
-    def owned(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last + 1 of the windows whose anchor each anchor is; may be none."""
-        window = np.flatnonzero(self.least > 0)
-        at = np.searchsorted(self.anchors, window)
-        while True:
-            off = np.flatnonzero(self.rank[self.anchors[at]] != self.least[window])
-            if not len(off):
-                break
-            at[off] += 1
-        n = len(self.anchors)
-        count = np.bincount(at, minlength=n)
-        begin = np.full(n, 0)
-        seen = np.flatnonzero(count)
-        begin[seen] = window[np.searchsorted(at, seen)]
-        return begin, begin + count
+    def owned(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last + 1 of the windows whose anchor each chosen one (an index) is; may be none."""
+        at = self.anchors
+        order = np.lexsort((at, self.rank[at]))
+        before = np.full(len(at), -1)
+        same = self.rank[at[order[1:]]] == self.rank[at[order[:-1]]]
+        before[order[1:][same]] = at[order[:-1][same]]
+        if len(chosen) > 4096:  # periodic texts have an anchor at every byte
+            parts = [self.owned(chosen[a : a + 4096]) for a in range(0, len(chosen), 4096)]
+            return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+        at, before = at[chosen], before[chosen]
+        reach = at[:, None] - np.arange(self.width - 1, -1, -1)[None, :]
+        own = (reach > before[:, None]) & (reach >= 0) & (reach < len(self.least))
+        own &= self.least[np.clip(reach, 0, len(self.least) - 1)] == self.rank[at][:, None]
+        begin = reach[np.arange(len(at)), own.argmax(1)]
+        return begin, begin + own.sum(1)
 
 
 def window_ranks(ranks: np.ndarray, half: int) -> np.ndarray:
@@ -243,10 +244,10 @@ def repeated_spans(
         own &= is_member(many.value, found.rank[at]) == hot_ones
         if not own.any():
             return None
-        begin, end = found.owned()
-        begin, end = begin[kept], end[kept]
-        own = np.flatnonzero(own & (end > begin))
-        return (own, begin[own], end[own]) if len(own) else None
+        own = np.flatnonzero(own)
+        begin, end = found.owned(kept[own])
+        some = end > begin
+        return (own[some], begin[some], end[some]) if some.any() else None
 
     def part_contexts(part, ids):
         got = chosen(part, False)
@@ -274,6 +275,8 @@ def repeated_spans(
     pieces = _rows(plain, length, part_contexts, f"anchor bigint, id {kind}, key bigint, low bigint, bytes binary")
     dealt = pieces.repartition("anchor").sortWithinPartitions("anchor")
     spans = spans.unionByName(_compare_windows(dealt, length, kind))
+    if not many.value.any():
+        return spans
     windows = _rows(plain, length, hot_windows, f"rank bigint, id {kind}, key bigint, low bigint")
     often = windows.groupBy("rank").count().filter("count > 1").select("rank")
     found = windows.join(often, "rank", "left_semi")
