@@ -13,8 +13,8 @@ cost, by the number of documents that have them in their longest prefix, decides
 Pairs with a lengthened member are found by rare shingles only, hot pairs among hot
 documents alone, so a frequent passage never meets all documents that hold it.
 
-Candidates are not listed pair by pair. Documents are clustered by their smallest
-shared shingle and their size; a document meets a cluster of a like size if it shares
+Candidates are not listed pair by pair. Documents are clustered by one of
+their more frequent shingles and their size; a document meets a cluster of a like size if it shares
 as many shingles with the cluster as a link would take. The sets of two such clusters, in blocks of bounded size,
 are compared by exact intersections, and every block passes on a forest of its links.
 Membership filters of fixed size only keep shingles without a partner from the
@@ -112,7 +112,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def candidate_rows(docs: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """(id, kind, space, n, size, wanted, key, weight): the shingles by which documents meet.
+    """(id, kind, space, n, size, wanted, key, weight, df): the shingles by which documents meet.
 
     ``docs`` has ``_id`` (bigint, not null) and ``_text``. Shingles that are in the same
     documents stand for one another: the smallest comes with their number as weight.
@@ -155,15 +155,21 @@ def candidate_rows(docs: DataFrame, percent: int, frequent: int) -> DataFrame:
 
     rows = _postings(docs, put_forward, "id bigint, token bigint, space tinyint, kind int, n int, size int, wanted int")
     # Space 1 holds rare shingles, space 2 frequent ones.
-    known = lists.select("token", "weight", F.when(F.col("often"), 2).otherwise(1).cast("tinyint").alias("space"))
+    known = lists.select("token", "weight", "df", F.when(F.col("often"), 2).otherwise(1).cast("tinyint").alias("space"))
     return rows.join(known, ["token", "space"]).withColumn("key", F.xxhash64("space", "token")).drop("token")
 
 
 def _meetings(rows: DataFrame, percent: int) -> DataFrame:
     """(id, n, lo, hi, side): documents and the pairs of clusters in which they are compared."""
     who = ["id", "kind", "size"]
-    own = rows.groupBy(*who).agg(F.xxhash64(F.min("key"), "kind", "size").alias("cluster"))
-    rows = stored(rows.join(own, who))
+    # The smallest key among the more frequent half: members of a group mostly agree on
+    # it, so that a group has few clusters. The array is no longer than the prefix.
+    sorted_ = F.sort_array(F.collect_list(F.struct("df", "key")), asc=False)
+    own = rows.groupBy(*who).agg(sorted_.alias("all"))
+    half = F.slice("all", 1, F.ceil(F.size("all") / 2).cast("int"))
+    least_key = F.array_min(F.transform(half, lambda x: x["key"]))
+    own = own.select(*who, F.xxhash64(least_key, "kind", "size").alias("cluster"))
+    rows = stored(rows.drop("df").join(own, who))
     there = rows.select(
         "key", F.col("cluster").alias("other"), F.col("kind").alias("other_kind"), F.col("size").alias("other_size")
     ).distinct()
