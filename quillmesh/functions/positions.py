@@ -63,6 +63,12 @@ def bucket_positions(
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
 
+def same_key_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on one column under which null equals null; the left column stays."""
+    other = right.withColumnRenamed(key, "_same")
+    return left.join(other, left[key].eqNullSafe(other["_same"]), how).drop("_same")
+
+
 def group_key(keys: Sequence[str]) -> Column:
     """The keys as one struct, whose equality also holds for null fields.
 

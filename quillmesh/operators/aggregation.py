@@ -63,9 +63,10 @@ def drop_nan_clients(params: DataFrame, check: bool = True) -> DataFrame:
     """Leave out every client that sent a NaN; an error if all of them did."""
     flags = params.groupBy("client_id").agg(F.bool_or(F.isnan("value")).alias("bad"))
     if check:
-        seen = flags.agg(F.bool_and("bad").alias("all")).first()
-        if seen["all"]:
-            raise ValueError("every client holds a NaN parameter")
+        # Raised when the result is computed, so that planning reads nothing.
+        all_bad = flags.agg(F.bool_and("bad")).scalar()
+        stop = F.raise_error(F.lit("every client holds a NaN parameter")).cast("boolean")
+        flags = flags.withColumn("bad", F.when(all_bad, stop).otherwise(F.col("bad")))
     return params.join(flags.filter("bad"), "client_id", "left_anti")
 
 
@@ -97,7 +98,7 @@ def param_sum(params: DataFrame) -> DataFrame:
 
 def param_norm(a: DataFrame, p: float = 2.0, by: Sequence[str] = ()) -> DataFrame:
     return a.groupBy(*by).agg(
-        F.pow(F.sum(F.pow("value", F.lit(p))), F.lit(1.0 / p)).alias("norm")
+        F.pow(F.sum(F.pow(F.abs("value"), F.lit(p))), F.lit(1.0 / p)).alias("norm")
     )
 
 

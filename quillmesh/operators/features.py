@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.positions import hash_positions, prefix_weights
+from quillmesh.functions.positions import hash_positions, prefix_weights, same_key_join
 from quillmesh.functions.running import overlapped
 from quillmesh.functions.text import ws_tokens
 
@@ -77,7 +77,7 @@ def reindex(
     if mapping is None:
         ids = df.select(col).distinct()
         mapping = hash_positions(ids, col, pos="index", total=None)
-    joined = df.join(mapping.select(col, "index"), col)
+    joined = same_key_join(df, mapping.select(col, "index"), col)
     if out:
         return joined.withColumnRenamed("index", out)
     return joined.drop(col).withColumnRenamed("index", col).select(*df.columns)

@@ -21,6 +21,7 @@ from quillmesh.functions.positions import (
     hash_positions,
     hash_uniform,
     id_positions,
+    same_key_join,
     seeded_hash,
     sorted_positions,
 )
@@ -160,7 +161,7 @@ def dirichlet_shares(
 
     by_client, by_label = Window.partitionBy("client_id"), Window.partitionBy(label)
     drawn = grid.withColumn(
-        "_g", log_gamma("client_id", F.col(label).cast("string"), F.col("_p") * alpha)
+        "_g", log_gamma("client_id", F.coalesce(F.col(label).cast("string"), F.lit("\0")), F.col("_p") * alpha)
     )
     weight = F.exp(F.col("_g") - F.max("_g").over(by_client))
     shares = drawn.withColumn("_w", weight)
@@ -213,7 +214,7 @@ def split_dirichlet(
         return df.withColumn("client_id", F.lit(0).cast("long"))
     placed = hash_positions(df, row_id, [label], seed, "_pos", None)
     client = part_of(F.col("_pos"), F.col("_cuts"))
-    return placed.join(cuts, label).select(*df.columns, client.alias("client_id"))
+    return same_key_join(placed, cuts, label).select(*df.columns, client.alias("client_id"))
 
 
 def label_owners(labels: DataFrame, label: str, n: int, diversity: float) -> DataFrame:
@@ -245,7 +246,7 @@ def split_diversity(
     placed = hash_positions(df, row_id, [label], seed, "_pos", "_n")
     turn = even_part(F.col("_pos"), F.col("_n"), F.size("owners"))
     client = F.when(F.size("owners") > 0, F.get("owners", turn.cast("int")))
-    return placed.join(owners, label).select(*df.columns, client.alias("client_id"))
+    return same_key_join(placed, owners, label).select(*df.columns, client.alias("client_id"))
 
 
 def perturb(
@@ -274,7 +275,7 @@ def split_by_id(
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     if n < 0:
         owners = hash_positions(sizes.select(key), key, seed=seed, pos="client_id", total=None)
-        return df.join(owners, key)
+        return same_key_join(df, owners, key)
     orders = {
         "max": [F.desc("_c"), F.asc(key)],
         "min": [F.asc("_c"), F.asc(key)],
@@ -285,7 +286,7 @@ def split_by_id(
     chosen = sizes.orderBy(*orders[priority]).limit(n)
     rank = F.row_number().over(Window.orderBy(*orders[priority])) - 1
     ids = chosen.select(key, rank.cast("long").alias("client_id"))
-    return df.join(ids, key)
+    return same_key_join(df, ids, key)
 
 
 def split_grouped(df: DataFrame, key: str, target: int = 7) -> DataFrame:
@@ -293,7 +294,7 @@ def split_grouped(df: DataFrame, key: str, target: int = 7) -> DataFrame:
     owners = sorted_positions(df.select(key).distinct(), [key], pos="_k", total="_kinds")
     size = F.greatest(F.lit(1), F.ceil(F.col("_kinds") / target))
     ids = owners.select(key, F.floor(F.col("_k") / size).cast("long").alias("client_id"))
-    return df.join(ids, key)
+    return same_key_join(df, ids, key)
 
 
 def vertical_sizes(total: int, parties: int, imbalance: float = 0.0) -> list[int]:

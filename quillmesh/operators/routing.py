@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -124,11 +125,21 @@ def choose_transform(df: DataFrame, col: str) -> DataFrame:
 
 
 def render_template(template: str | Column, fields: Mapping[str, str | Column]) -> Column:
-    """Fill ``{name}`` slots of a template with columns."""
-    out = F.lit(template) if isinstance(template, str) else template
-    for name, value in fields.items():
-        out = F.replace(out, F.lit("{" + name + "}"), as_col(value))
-    return out
+    """Fill ``{name}`` slots of a template with columns.
+
+    The template is cut at its slots once, so a slot's name inside a value stays.
+    """
+    text = F.lit(template) if isinstance(template, str) else template
+    slots = "|".join(re.escape("{" + name + "}") for name in fields)
+    if not slots:
+        return text
+    names = F.regexp_extract_all(text, F.lit(f"({slots})"), F.lit(1))
+    between = F.split(text, slots, -1)
+    values = F.create_map(*[x for name, v in fields.items() for x in (F.lit("{" + name + "}"), as_col(v))])
+    filled = F.transform(names, lambda slot, i: F.concat(values[slot], F.get(between, i + 1)))
+    # A null value makes the whole text null, as it would in a concatenation.
+    whole = F.concat(F.get(between, F.lit(0)), F.array_join(filled, ""))
+    return F.when(~F.exists(filled, lambda x: x.isNull()), whole)
 
 
 def render_prompts(

@@ -335,7 +335,7 @@ def label_propagation(read):
     "graph_pack_communities",
     """WITH m AS (SELECT doc_id AS node, len(regexp_extract_all(text, '[.]'))::BIGINT AS community FROM documents),
 s AS (SELECT community, (row_number() OVER (ORDER BY count(*), community) - 1) % 4 AS client_id FROM m GROUP BY community)
-SELECT node, community, client_id FROM m JOIN s USING (community)""",
+SELECT node, community, 0::BIGINT AS segment, client_id FROM m JOIN s USING (community)""",
 )
 def pack_communities(read):
     members = read("documents").select(
@@ -344,7 +344,12 @@ def pack_communities(read):
     return graph.pack_communities(members, 4)
 
 
-@query("graph_split_communities")
+@query(
+    "graph_split_communities",
+    f"""WITH {_sql_lpa(3)},
+s AS (SELECT community, (row_number() OVER (ORDER BY count(*), community) - 1) % 4 AS client_id FROM c3 GROUP BY community)
+SELECT node, community, 0::BIGINT AS segment, client_id FROM c3 JOIN s USING (community)""",
+)
 def split_communities(read):
     return graph.split_communities(edges(read), 4, 3)
 

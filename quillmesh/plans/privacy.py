@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmesh.functions.positions import bucket_positions
 from quillmesh.operators import privacy, routing
 from quillmesh.plans.common import query
 
@@ -254,17 +255,20 @@ pairs AS (
 def dialogue_pairs(read):
     """User turns with the assistant turn that follows them.
 
-    Turns are numbered without gaps, so the next turn is an equality join and a
-    conversation of any length spreads over all tasks.
+    Turns of other roles in between don't count. Those that do are numbered without
+    gaps, in buckets, so the next turn is an equality join and a conversation of any
+    length spreads over all tasks.
     """
-    turns = read("conversations")
+    spoken = read("conversations").filter("role in ('user', 'assistant')")
+    bucket = F.floor(F.col("turn") / 4096)
+    turns = bucket_positions(spoken, ["conv_id"], bucket, [F.col("turn").asc()], "_at", None)
     asked = turns.filter("role = 'user'").select(
-        "conv_id", "turn", F.col("text").alias("question")
+        "conv_id", "turn", "_at", F.col("text").alias("question")
     )
     replied = turns.filter("role = 'assistant'").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
+        "conv_id", (F.col("_at") - 1).alias("_at"), F.col("text").alias("answer")
     )
-    return asked.join(replied, ["conv_id", "turn"]).select(
+    return asked.join(replied, ["conv_id", "_at"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
         "conv_id",
         "turn",

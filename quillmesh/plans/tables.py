@@ -47,13 +47,12 @@ def corpus_flatten(read):
 
 @query(
     "source_corpus_first_passages",
-    f"""SELECT id, '' AS title, text FROM (SELECT doc_id, position, doc_id * 100000 + position AS id, sentence AS text FROM ({sql_sentences("documents", "doc_id")}))
-ORDER BY doc_id, position LIMIT 6066""",
+    f"""SELECT id, '' AS title, text FROM (SELECT doc_id, position, doc_id * 100000 + position AS id, sentence AS text FROM ({sql_sentences("documents", "doc_id")}))""",
 )
 def corpus_first(read):
-    """The reader's own rule: it stops after its passage limit."""
+    """The reader's path, which reads all passages unless a limit is asked for."""
     parsed = raw_corpus(read).select("doc_id", F.from_json("value", corpus.PASSAGES).alias("p"))
-    return corpus.flatten_corpus(parsed, "p", "doc_id", corpus.MAX_PASSAGES)
+    return corpus.flatten_corpus(parsed, "p", "doc_id")
 
 
 def qa_items(read):

@@ -48,13 +48,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Scans of more splits than this are never dealt anew.
+SPREAD_SPLITS = 4
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan with fewer partitions than cores one partition per core.
+    """Give a scan of a few splits one partition per core.
 
-    Row-wise text work on one unsplittable file would keep a single core busy. A
-    large table has more splits than cores and passes through unchanged.
+    Row-wise text work on one unsplittable file would keep a single core busy. Only
+    scans of at most ``SPREAD_SPLITS`` splits, half a gigabyte by default, are dealt
+    anew; larger tables pass through whatever the number of cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    splits = df.rdd.getNumPartitions()
+    if splits > SPREAD_SPLITS or splits >= cores:
         return df
     return df.repartition(cores, key)

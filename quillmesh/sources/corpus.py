@@ -18,7 +18,6 @@ MULTIHOP = (
     "sentences:array<array<string>>>, supporting_facts struct<title:array<string>,"
     "sent_id:array<int>>"
 )
-MAX_PASSAGES = 6066
 PAIRS_PER_ROW = 1 << 20
 
 
@@ -49,7 +48,7 @@ def flatten_corpus(
     return flat.select("id", "title", "text")
 
 
-def read_corpus(spark: SparkSession, path: str, max_docs: int | None = MAX_PASSAGES) -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, max_docs: int | None = None) -> DataFrame:
     """Nested corpus JSON as flat passages.
 
     One object per file is the layout of the format; many files are read in

@@ -26,8 +26,15 @@ def test_weighted_modes(spark):
 def test_nan_clients(spark):
     p = params(spark, [(0, "a", 0, 2.0), (1, "a", 0, float("nan")), (1, "a", 1, 1.0)])
     assert [r.client_id for r in aggregation.drop_nan_clients(p).collect()] == [0]
-    with pytest.raises(ValueError):
-        aggregation.drop_nan_clients(p.filter("client_id = 1"))
+    lost = aggregation.drop_nan_clients(p.filter("client_id = 1"))
+    with pytest.raises(Exception, match="every client holds a NaN"):
+        lost.collect()
+
+
+def test_norm_of_odd_powers(spark):
+    p = params(spark, [(0, "a", 0, -1.0), (0, "a", 1, 3.0)])
+    assert aggregation.param_norm(p, 1.0).first()["norm"] == 4.0
+    assert abs(aggregation.param_norm(p, 3.0).first()["norm"] - 28 ** (1 / 3)) < 1e-12
 
 
 def test_filter_runs(spark):
