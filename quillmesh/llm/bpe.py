@@ -29,7 +29,7 @@ NONE = np.int32(1 << 30)
 #: Words of more bytes go through a heap, since scans are quadratic in the length.
 SHORT_WORD = 64
 #: Words that a worker remembers. Beyond, those of the current slice stay.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 SLICE = 2 << 20
 BLOCK_WORDS = 20_000
 
