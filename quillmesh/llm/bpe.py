@@ -28,8 +28,9 @@ from quillmesh.llm.common import map_arrow, query, slices, table, task_cache
 NONE = np.int32(1 << 30)
 #: Words of more bytes go through a heap, since scans are quadratic in the length.
 SHORT_WORD = 64
-#: Words that a worker remembers. Beyond, those of the current slice stay.
-CACHE_WORDS = 1_000_000
+#: Words of the newer of two generations that a worker remembers. When it is full it
+#: becomes the older one, whose words come back as they are met.
+CACHE_WORDS = 400_000
 SLICE = 2 << 20
 BLOCK_WORDS = 20_000
 
@@ -92,6 +93,7 @@ class Codec:
         self.odd = re.compile(f"[^{_PLAIN}]").search
         self.source, self.library = source, None
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # -- merging ---------------------------------------------------------------
 
@@ -212,7 +214,7 @@ class Codec:
 
     def _learn(self, words: list[str]) -> None:
         """Put words of plain, lower-case characters, and their pieces, into the cache."""
-        known, mixed, wanted = self.words, [], set()
+        known, older, mixed, wanted = self.words, self.older, [], set()
         for w in words:
             if w.isalpha():
                 wanted.add(w)
@@ -220,7 +222,13 @@ class Codec:
                 own = self.pieces(w)
                 mixed.append((w, own))
                 wanted.update(own)
-        new = [p for p in wanted if p not in known]
+        new = []
+        for p in wanted:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    new.append(p)
         known.update(zip(new, self.merge_words([p.encode() for p in new])))
         for w, own in mixed:
             if len(own) > 1:
@@ -238,7 +246,8 @@ class Codec:
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Token ids (int32) of every text."""
-        full = len(self.words) > CACHE_WORDS
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
         out: list = [None] * len(texts)
         plain, where = [], []
         for i, text in enumerate(texts):
@@ -255,9 +264,13 @@ class Codec:
                 plain.append(text.lower().split())
                 where.append(i)
         seen = set().union(*plain)
-        if full:
-            self.words = {w: self.words[w] for w in seen if w in self.words}
-        self._learn([w for w in seen if w not in self.words])
+        words, older, new = self.words, self.older, []
+        for w in seen.difference(words):
+            if w in older:
+                words[w] = older[w]
+            else:
+                new.append(w)
+        self._learn(new)
         get = self.words.__getitem__
         for i, words in zip(where, plain):
             out[i] = np.frombuffer(b"".join(map(get, words)), np.int32)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -38,13 +40,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows."""
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows.
+
+    Workers go on to tasks of other operators, so each task ends by giving the memory
+    that it freed back to the system.
+    """
+
+    def task(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim()
+
     conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(task, schema)
+
+
+def trim() -> None:
+    """Return the C allocator's free pages, where the system's library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def free_names(taken, wanted) -> list[str]:
@@ -60,13 +81,17 @@ def free_names(taken, wanted) -> list[str]:
 
 
 def task_cache(key: str, make: Callable[[], object]):
-    """An object that lives as long as the Python worker.
+    """An object that lives on in the Python worker until a task of another kind runs.
 
-    Functions travel by value, so their own globals are new in every task.
+    Functions travel by value, so their own globals are new in every task. Keys of one
+    kind have the part before a colon in common.
     """
     name = "_quillmesh_llm_cache"
-    store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    store = sys.modules.setdefault(name, types.SimpleNamespace(kept={})).kept
     if key not in store:
+        kind = key.partition(":")[0]
+        for other in [k for k in store if k.partition(":")[0] != kind]:
+            del store[other]
         store[key] = make()
     return store[key]
 

@@ -49,8 +49,8 @@ def _letter_vectors(dim: int, n: int) -> list[np.ndarray]:
 
 def text_vectors(column: pa.Array, dim: int = DIM, n: int = N) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (first row, vectors, has a letter) for runs of rows of a text column."""
-    symbols = task_cache("language_symbols", _symbol_table)
-    letters = task_cache(f"language_letters:{dim}:{n}", lambda: _letter_vectors(dim, n))
+    symbols = task_cache("language:symbols", _symbol_table)
+    letters = task_cache(f"language:letters:{dim}:{n}", lambda: _letter_vectors(dim, n))
     for first, last, data, starts in slices(column):
         raw, m = data.tobytes(), last - first
         texts = [raw[starts[i] : starts[i + 1]].decode().lower() for i in range(m)]

@@ -59,7 +59,7 @@ def _classes() -> np.ndarray:
 def document_stats(column: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Base counts (rows x ``BASE``) and features (rows x ``FEATURES``) of whole texts."""
     base, features = [], []
-    kind = task_cache("quality_classes", _classes)
+    kind = task_cache("words:classes", _classes)
     for first, last, data, starts in slices(column):
         n = last - first
         row = np.repeat(np.arange(n), np.diff(starts))

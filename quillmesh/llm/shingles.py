@@ -42,7 +42,7 @@ def _tables() -> dict:
 
 def _powers(n: int) -> dict:
     """The tables with powers of the base and of its inverse up to ``n``."""
-    t = task_cache("shingle_tables", _tables)
+    t = task_cache("words:tables", _tables)
     if t["n"] < n:
         size = max(n, BLOCK + 4096)
         for name in ("base", "inverse"):
@@ -89,7 +89,7 @@ def word_hashes(
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
     if len(starts) > 2 or len(data) <= 2 * BLOCK:
         return _block_words(data, starts, values, tails)
-    space, parts, at = task_cache("shingle_tables", _tables)["space"], [], 0
+    space, parts, at = task_cache("words:tables", _tables)["space"], [], 0
     while at < len(data):
         end = min(len(data), at + BLOCK)
         while end < len(data):

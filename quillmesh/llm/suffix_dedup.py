@@ -52,7 +52,7 @@ def _tables() -> dict:
 
 
 def _powers(n: int) -> dict:
-    t = task_cache("suffix_tables", _tables)
+    t = task_cache("suffix:tables", _tables)
     if t["n"] < n:
         size = max(n, 2 * SLICE)
         for name in ("base", "inverse"):
