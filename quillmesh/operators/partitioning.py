@@ -444,46 +444,75 @@ def split_links(
     neg: float = 1.0,
     seed: int = 0,
     draws: int = 4,
+    undirected: bool = False,
 ) -> DataFrame:
     """Random link split with negatives: ``src, dst, edge_label, part``.
 
-    Every edge proposes ``draws`` random node pairs; proposals that are edges,
-    loops or repeats are dropped, and each part takes ``int(neg * positives)`` of
-    the rest. On a nearly complete graph fewer pairs are left than asked for.
+    Each part gets exactly ``int(neg * positives)`` pairs of different nodes that are no
+    edge, in neither direction if ``undirected``; it is an error if the graph has too few.
+    Every edge proposes ``draws`` random pairs, twice as many as long as a part is short.
+    Where pairs are scarce all of them are listed, as many rows as there are edges and
+    negatives, but for a small factor.
     """
     pairs = edges.select("src", "dst").distinct()
     keyed = pairs.withColumn("_id", F.concat_ws("-", "src", "dst"))
     split = cut_lineage(split_nodes(keyed, "_id", val, test, seed))
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     indexed = cut_lineage(hash_positions(nodes, "node", seed=seed, pos="_k", total="_N"))
-    count = indexed.select("_N").limit(1).scalar()
+    taken = pairs.filter("src <> dst")
+    if undirected:
+        taken = taken.unionByName(taken.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    taken = cut_lineage(taken)
+    n = indexed.count()
+    free = n * (n - 1) - taken.count()
+    want = {r["part"]: int(neg * r["count"]) for r in split.groupBy("part").count().collect()}
+    if sum(want.values()) * (2 if undirected else 1) > free:
+        raise ValueError("the graph has too few pairs without an edge")
+    left = indexed.select(F.col("_k").alias("_a"), F.col("node").alias("src"))
+    right = indexed.select(F.col("_k").alias("_b"), F.col("node").alias("dst"))
+
+    def fresh(candidates: DataFrame) -> DataFrame:
+        """Candidates that are new pairs without an edge, each once."""
+        named = candidates.join(left, "_a").join(right, "_b").filter("src <> dst")
+        if undirected:
+            low, high = F.least("src", "dst"), F.greatest("src", "dst")
+            named = named.withColumns({"src": low, "dst": high})
+        once = named.groupBy("src", "dst").agg(F.min(F.struct("_draw", "_id", "part")).alias("_first"))
+        once = once.select("src", "dst", "_first.part").join(taken, ["src", "dst"], "left_anti")
+        return once.withColumn("_id", F.concat_ws("-", "src", "dst"))
 
     def pick(side: str) -> Column:
         u = hash_uniform(seed, F.lit(side), "_id", "_draw")
-        return F.floor(u * F.col("_N")).cast("long")
-
-    drawn = (
-        split.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_N", count)
-        .select("part", "_id", "_draw", pick("a").alias("_a"), pick("b").alias("_b"))
-    )
-    left = indexed.select(F.col("_k").alias("_a"), F.col("node").alias("src"))
-    right = indexed.select(F.col("_k").alias("_b"), F.col("node").alias("dst"))
-    fresh = (
-        drawn.join(left, "_a")
-        .join(right, "_b")
-        .filter("src <> dst")
-        .groupBy("src", "dst")
-        .agg(F.min(F.struct("_draw", "_id", "part")).alias("_first"))
-        .select("src", "dst", "_first.part", F.col("_first._id").alias("_from"))
-        .join(pairs, ["src", "dst"], "left_anti")
-        .withColumn("_id", F.concat_ws("-", "src", "dst"))
-    )
-    placed = hash_positions(cut_lineage(fresh), "_id", ["part"], seed, "_pos", None)
-    wanted = split.groupBy("part").agg(
-        F.floor(F.count(F.lit(1)) * F.lit(float(neg))).alias("_want")
-    )
-    negative = placed.join(wanted, "part").filter(F.col("_pos") < F.col("_want"))
+        return F.floor(u * F.lit(n)).cast("long")
+
+    if sum(want.values()) > free / 4 or free < n * n / 2:
+        every = indexed.select(
+            F.col("_k").alias("_a"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_b"),
+            F.lit(0).alias("_draw"),
+            F.lit("").alias("_id"),
+            F.lit("").alias("part"),
+        )
+        placed = hash_positions(cut_lineage(fresh(every).drop("part")), "_id", (), seed, "_pos", None)
+        # Parts take their shares of the one order, one behind the other.
+        part, at = F.lit(None).cast("string"), 0
+        for name, count in sorted(want.items()):
+            part = F.when((F.col("_pos") >= at) & (F.col("_pos") < at + count), F.lit(name)).otherwise(part)
+            at += count
+        negative = placed.withColumn("part", part).filter("part is not null")
+    else:
+        while True:
+            drawn = split.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
+                "part", "_id", "_draw", pick("a").alias("_a"), pick("b").alias("_b")
+            )
+            found = cut_lineage(fresh(drawn))
+            got = {r["part"]: r["count"] for r in found.groupBy("part").count().collect()}
+            if all(got.get(name, 0) >= count for name, count in want.items()):
+                break
+            draws *= 2
+        placed = hash_positions(found, "_id", ["part"], seed, "_pos", None)
+        wanted = F.create_map(*[F.lit(x) for item in want.items() for x in item]) if want else F.create_map()
+        negative = placed.filter(F.col("_pos") < wanted[F.col("part")]) if want else placed.limit(0)
     return split.select("src", "dst", F.lit(1).alias("edge_label"), "part").unionByName(
         negative.select("src", "dst", F.lit(0).alias("edge_label"), "part")
     )

@@ -68,3 +68,31 @@ def test_slots_inside_values_stay(spark):
     df = spark.createDataFrame([("ask {context} now", "CTX")], "question string, context string")
     text = routing.render_template("{question} | {context} | {question}", {"question": "question", "context": "context"})
     assert df.select(text).first()[0] == "ask {context} now | CTX | ask {context} now"
+
+
+@pytest.mark.parametrize("neg", [0.5, 1, 3.9, 6, 39])
+@pytest.mark.parametrize("undirected", [False, True])
+def test_links_have_all_negatives(spark, neg, undirected):
+    chain = [(k, k + 1) for k in range(40)]
+    edges = spark.createDataFrame(chain, "src long, dst long")
+    if neg == 39 and undirected:
+        with pytest.raises(ValueError):
+            partitioning.split_links(edges, 0.2, 0.2, neg, undirected=True)
+        return
+    rows = partitioning.split_links(edges, 0.2, 0.2, neg, undirected=undirected).collect()
+    for part in ("train", "test", "val"):
+        own = [r for r in rows if r.part == part]
+        positive = sum(r.edge_label for r in own)
+        assert len(own) - positive == int(neg * positive)
+    bad = {(r.src, r.dst) for r in rows if not r.edge_label}
+    assert len(bad) == sum(1 - r.edge_label for r in rows) and not bad & set(chain) and all(a != b for a, b in bad)
+    if undirected:
+        assert not {(b, a) for a, b in bad} & (set(chain) | bad)
+
+
+def test_links_of_a_full_graph(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(a)], "src long, dst long")
+    rows = partitioning.split_links(edges, 0.2, 0.2).collect()
+    assert sum(1 - r.edge_label for r in rows) == 15
+    with pytest.raises(ValueError):
+        partitioning.split_links(edges, 0.2, 0.2, undirected=True)
