@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from quillmesh.session import cut_lineage
 
-ID_BUCKET = 1 << 20
 HASH_PREFIX = 3
 
 
@@ -105,11 +104,9 @@ def id_positions(
     keys: Sequence[str] = (),
     pos: str = "pos",
     total: str | None = "n",
-    width: int = ID_BUCKET,
 ) -> DataFrame:
-    """Positions by a unique integer id; no bucket exceeds ``width`` rows."""
-    bucket = F.floor(F.col(row_id) / F.lit(width))
-    return bucket_positions(df, keys, bucket, [F.col(row_id).asc()], pos, total)
+    """Positions by a unique id; dense and sparse ids make buckets of like size."""
+    return sorted_positions(df, [row_id], keys, pos, total)
 
 
 def sorted_positions(
@@ -140,12 +137,14 @@ def prefix_weights(
     weight: Column,
     start: str = "start",
     total: str = "total",
-    width: int = 1 << 16,
 ) -> DataFrame:
-    """Running sum of ``weight`` over all preceding rows in integer id order."""
-    tagged = df.withColumn("_w", weight.cast("long")).withColumn(
-        "_bucket", F.floor(F.col(row_id) / F.lit(width))
-    )
+    """Running sum of ``weight`` over all preceding rows in id order.
+
+    Rows are cut by ranges of the id into partitions of like size, which are stored
+    with their number, as the cut points differ from run to run.
+    """
+    ranged = df.withColumn("_w", weight.cast("long")).repartitionByRange(F.col(row_id))
+    tagged = cut_lineage(ranged.withColumn("_bucket", F.spark_partition_id()))
     sums = tagged.groupBy("_bucket").agg(F.sum("_w").alias("_bw"))
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(

@@ -127,8 +127,6 @@ def load_multihop(df: DataFrame, row_id: str) -> DataFrame:
             F.min("_at").alias("_at"), F.min_by("sentences", "_at").alias("sentences")
         )
     )
-    numbered = id_positions(first, "_at", pos="title_id", total=None, width=PAIRS_PER_ROW << 12)
-    sized = prefix_weights(
-        numbered, "_at", F.size("sentences"), "start", "_total", PAIRS_PER_ROW << 12
-    )
+    numbered = id_positions(first, "_at", pos="title_id", total=None)
+    sized = prefix_weights(numbered, "_at", F.size("sentences"), "start", "_total")
     return sized.select("title", "title_id", F.col("start").cast("long").alias("start"), "sentences")

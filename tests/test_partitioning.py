@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.functions.positions import id_positions, sorted_positions
+from quillmesh.functions.positions import id_positions, prefix_weights, sorted_positions
 from quillmesh.functions.running import running
 from quillmesh.operators import graph, partitioning
 
@@ -106,10 +106,20 @@ def test_ordered_positions(spark):
         want[r.label].append((r.ts, r.id))
     for r in got:
         assert sorted(want[r.label])[r.pos] == (r.ts, r.id) and r.n == len(want[r.label])
-    ids = {r.id: r.pos for r in id_positions(df, "id", width=64).collect()}
+    ids = {r.id: r.pos for r in id_positions(df, "id").collect()}
     assert ids == {i: i for i in range(1000)}
 
 
+def test_sparse_ids(spark):
+    rng = np.random.default_rng(5)
+    own = sorted(int(x) for x in rng.integers(-(1 << 62), 1 << 62, 3000))
+    df = spark.createDataFrame([(x,) for x in own], "id long").repartition(4)
+    placed = id_positions(df, "id", total=None)
+    assert {r.id: r.pos for r in placed.collect()} == {x: k for k, x in enumerate(own)}
+    summed = prefix_weights(df, "id", F.lit(2))
+    assert {r.id: (r.start, r.total) for r in summed.collect()} == {x: (2 * k, 6000) for k, x in enumerate(own)}
+
+
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_running(spark, inclusive):
     df = rows(spark, 300).withColumn("v", (F.col("id") * 7919 % 101).cast("double"))
