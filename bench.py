@@ -42,6 +42,12 @@ HEADLINE = [
     "feature_lm_sequences",
     "detect_map",
     "metric_link_ranking",
+    "search_knn_cells",
+    "search_bm25_join",
+    "graph_split_communities",
+    "fuse_auto_merge",
+    "metric_meteor",
+    "metric_rouge_lsum",
 ]
 
 

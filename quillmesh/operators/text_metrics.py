@@ -231,19 +231,28 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
 
 
 def _lcs_members(ref: Sequence, pred: Sequence) -> set:
-    """Positions of ``ref`` on one longest common subsequence."""
-    table = np.zeros((len(ref) + 1, len(pred) + 1), dtype=np.int32)
-    for i, t in enumerate(ref):
-        for j, u in enumerate(pred):
-            table[i + 1, j + 1] = (
-                table[i, j] + 1 if t == u else max(table[i, j + 1], table[i + 1, j])
-            )
+    """Positions of ``ref`` on one longest common subsequence.
+
+    Row i of the table is one big integer over ``pred``, with a zero bit wherever the
+    length grows by one, so a step is a few integer operations and the rows of two
+    20,000-word lines take 50 MB.
+    """
+    masks, full = _masks(pred), (1 << len(pred)) - 1
+    rows = [full]
+    for t in ref:
+        hit = rows[-1] & masks.get(t, 0)
+        rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & full)
+
+    def length(i: int, j: int) -> int:
+        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+
     out, i, j = set(), len(ref), len(pred)
+    now = length(i, j)
     while i and j:
         if ref[i - 1] == pred[j - 1]:
             out.add(i - 1)
-            i, j = i - 1, j - 1
-        elif table[i - 1, j] >= table[i, j - 1]:
+            i, j, now = i - 1, j - 1, now - 1
+        elif not rows[i] >> (j - 1) & 1 or length(i - 1, j) == now:
             i -= 1
         else:
             j -= 1
