@@ -13,10 +13,11 @@ cost, by the number of documents that have them in their longest prefix, decides
 Pairs with a lengthened member are found by rare shingles only, hot pairs among hot
 documents alone, so a frequent passage never meets all documents that hold it.
 
-Candidates are not listed pair by pair. Documents are clustered by one of
-their more frequent shingles and their size; a document meets a cluster of a like size if it shares
-as many shingles with the cluster as a link would take. The sets of two such clusters, in blocks of bounded size,
-are compared by exact intersections, and every block passes on a forest of its links.
+Candidates are not listed pair by pair. Documents are clustered by one of their more
+frequent shingles and their size; a document meets a cluster of a like size if it shares
+as many shingles with the cluster as a link would take. The sets of two such clusters,
+in blocks of bounded size, are compared by exact intersections, and every block passes
+on a forest of its links.
 Membership filters of fixed size only keep shingles without a partner from the
 exchanges; all decisions that need counts are made on exact counts.
 """
