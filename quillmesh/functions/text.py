@@ -36,14 +36,9 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _running_offsets(parts: Column, gaps: Column) -> Column:
-    """Start offset of every part, where ``gaps[i]`` lies between parts i and i+1."""
-    lens = F.zip_with(
-        parts, gaps, lambda p, g: F.length(p) + F.coalesce(F.length(g), F.lit(0))
-    )
-    init = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")
-    )
+def _fold_starts(lens: Column) -> Column:
+    """Running sums of ``lens`` before each element, and the sum of all."""
+    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     return F.aggregate(
         lens,
         init,
@@ -51,7 +46,39 @@ def _running_offsets(parts: Column, gaps: Column) -> Column:
             (acc["at"] + n).alias("at"),
             F.concat(acc["starts"], F.array(acc["at"])).alias("starts"),
         ),
-        lambda acc: acc["starts"],
+    )
+
+
+#: Elements of one fold. A fold copies its array at every step, so longer arrays are
+#: summed in blocks.
+FOLD = 256
+
+
+def _running_offsets(parts: Column, gaps: Column) -> Column:
+    """Start offset of every part, where ``gaps[i]`` lies between parts i and i+1."""
+    lens = F.zip_with(
+        parts, gaps, lambda p, g: F.length(p) + F.coalesce(F.length(g), F.lit(0))
+    )
+
+    def in_blocks(own: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(own) - 1) / FOLD).cast("int")),
+            lambda k: _fold_starts(F.slice(own, k * FOLD + 1, F.lit(FOLD))),
+        )
+        return let(
+            blocks,
+            lambda b: F.flatten(
+                F.zip_with(
+                    b,
+                    _fold_starts(F.transform(b, lambda x: x["at"]))["starts"],
+                    lambda x, at: F.transform(x["starts"], lambda start: start + at),
+                )
+            ),
+        )
+
+    return let(
+        lens,
+        lambda own: F.when(F.size(own) <= FOLD, _fold_starts(own)["starts"]).otherwise(in_blocks(own)),
     )
 
 

@@ -2,6 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quillmesh.functions.text import sentence_spans
 from quillmesh.operators import aggregation, privacy, routing
 
 TEXTS = [
@@ -143,3 +144,12 @@ def test_transform_mode_and_names(spark):
     assert got == ["stepback", "subquery", "stepback", "hyde"]
     df = spark.createDataFrame([("x-民法第1条",), ("none",)], "t string")
     assert [r[0] for r in df.select(routing.extract_name("t")).collect()] == ["民法第", None]
+
+
+def test_offsets_of_long_texts(spark):
+    """Spans fit the text on both sides of the fold's block size, and long texts finish."""
+    texts = [" ".join(f"Word{k} no. {k}." + " " * (k % 3) for k in range(n)) for n in (0, 1, 127, 128, 129, 300, 100_000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    for r in df.select("text", sentence_spans("text").alias("s")).collect():
+        assert all(r.text[s.start : s.end].strip() == s.text for s in r.s)
+        assert [s.text for s in r.s] == [p.strip() for p in re.split(r"(?<=[.!?\n])\s+", r.text) if p.strip()]
