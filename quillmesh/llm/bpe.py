@@ -30,8 +30,8 @@ NONE = np.int32(1 << 30)
 SHORT_WORD = 64
 #: Words of the newer of two generations that a worker remembers. When it is full it
 #: becomes the older one, whose words come back as they are met.
-CACHE_WORDS = 400_000
-SLICE = 2 << 20
+CACHE_WORDS = 200_000
+SLICE = 1 << 20
 BLOCK_WORDS = 20_000
 
 # The characters for which Python's lower(), split() and tables agree with the

@@ -287,18 +287,26 @@ def _compare_windows(pieces: DataFrame, length: int, kind: str) -> DataFrame:
     """Ranges of windows that occur twice among the pieces of one anchor."""
     half = length // 2
 
-    def close(rows: list[tuple]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8)
-        sizes = np.array([len(r[3]) for r in rows])
-        count = sizes - length + 1
+    def windows(texts: list[bytes], sizes: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Ranks of all windows of some pieces, one piece behind the other."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
         t = _powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(t["values"][data] * t["base_pow"][: len(data)], out=sums[1:])
         rank = mix((sums[half:] - sums[:-half]) * t["inverse_pow"][: len(data) - half + 1])
-        rank = window_ranks(rank, half)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return window_ranks(rank, half)[place + np.repeat(np.cumsum(sizes) - sizes, count)]
+
+    def close(rows: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([len(r[3]) for r in rows])
+        count = sizes - length + 1
         which = np.repeat(np.arange(len(rows)), count)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        rank = rank[inside + np.repeat(np.cumsum(sizes) - sizes, count)]
+        # Bytes are ranked some pieces at a time; only a window's rank is kept.
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, prepend=-1))
+        rank = np.concatenate(
+            [windows([r[3] for r in rows[a:b]], sizes[a:b], count[a:b]) for a, b in zip(cuts, [*cuts[1:], len(rows)])]
+        )
         _, index, seen = np.unique(rank, return_inverse=True, return_counts=True)
         hit = seen[index] > 1
         begin = np.flatnonzero(hit & ~(np.append(False, hit[:-1]) & (inside > 0)))
