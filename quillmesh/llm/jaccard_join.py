@@ -15,9 +15,10 @@ documents alone, so a frequent passage never meets all documents that hold it.
 
 Candidates are not listed pair by pair. Documents are clustered by one of their more
 frequent shingles and their size; a document meets a cluster of a like size if it shares
-as many shingles with the cluster as a link would take. The sets of two such clusters,
-in blocks of bounded size, are compared by exact intersections, and every block passes
-on a forest of its links.
+as many shingles with the cluster as a link would take. Of documents with the same set
+one stands for all, the others hang on it. The sets of two such clusters, in blocks of
+bounded shingles and documents, are compared by exact intersections, and every block
+passes on a forest of its links.
 Membership filters of fixed size only keep shingles without a partner from the
 exchanges; all decisions that need counts are made on exact counts.
 """
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ MATCHES = 2
 CLASS = 1.01
 #: Shingles of one side of a block.
 BLOCK = 150_000
+#: Documents of one side of a block: a block's tables have documents x documents cells.
+BLOCK_DOCS = 2000
 _SET_BYTES = 6
 
 
@@ -190,10 +194,13 @@ def _meetings(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(met: DataFrame, block: int) -> DataFrame:
-    """(id, lo, hi, i, j, side): each pair of clusters in blocks of about ``block`` shingles."""
+    """(id, lo, hi, i, j, side): each pair of clusters in blocks of about ``block`` shingles
+    and ``BLOCK_DOCS`` documents a side at most."""
+    # A document counts as many shingles as its share of a block's documents, if it has fewer.
+    cost = F.greatest(F.col("n") / block, F.lit(1 / BLOCK_DOCS))
     size = met.groupBy("lo", "hi").agg(
         *(F.count_if(F.col("side") == s).alias(f"c{s}") for s in (0, 1)),
-        *(F.ceil(F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)) / block).cast("int").alias(f"b{s}") for s in (0, 1)),
+        *(F.ceil(F.coalesce(F.sum(F.when(F.col("side") == s, cost)), F.lit(0.0))).cast("int").alias(f"b{s}") for s in (0, 1)),
     )
     size = size.filter("(lo = hi and c0 > 1) or (c0 > 0 and c1 > 0)")
     both = met.join(size, ["lo", "hi"])
@@ -295,13 +302,38 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
     return map_arrow(dealt.select(*keys, "side", "id", "set"), run, "a bigint, b bigint")
 
 
+def _twins(met: DataFrame, plain: DataFrame) -> DataFrame:
+    """(id, rep): documents of one text that have the set of ``rep``, a smaller one, as well."""
+    wanted = plain.sparkSession.sparkContext.broadcast(membership(met.select("id"), F.col("id")))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("_id").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(is_member(wanted.value, ids.astype(np.int64).view(np.uint64))))
+            ids = batch.column("_id").to_pylist()
+            who, raw = [], []
+            for i, h in shingle_sets(batch.column("_text")):
+                if len(h):
+                    who.append(ids[i])
+                    raw.append(xxhash.xxh3_128_digest(h.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(raw, pa.binary())], ["id", "digest"])
+
+    # Rows of one id with different texts are one document, which no other one stands for.
+    each = map_arrow(plain, digests, "id bigint, digest binary").groupBy("id")
+    own = stored(each.agg(F.count(F.lit(1)).alias("texts"), F.min("digest").alias("digest")).filter("texts = 1").drop("texts"))
+    reps = own.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    return stored(own.join(reps, "digest").filter("id <> rep").select("id", "rep"))
+
+
 def link_components(
     docs: DataFrame, row_id: str = "doc_id", text: str = "text", percent: int = PERCENT, frequent: int = FREQUENT,
     block: int = BLOCK,
 ) -> DataFrame:
     """(node, component) of every document with a link to another one."""
     plain = docs.select(docs[row_id].cast("long").alias("_id"), docs[text].alias("_text")).filter("_id is not null and _text is not null")
-    blocks = stored(_blocks(stored(_meetings(candidate_rows(plain, percent, frequent), percent)), block))
+    met = stored(_meetings(candidate_rows(plain, percent, frequent), percent))
+    twins = _twins(met, plain)
+    blocks = stored(_blocks(stored(met.join(twins, "id", "left_anti")), block))
     wanted = docs.sparkSession.sparkContext.broadcast(membership(blocks.select("id"), F.col("id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +348,8 @@ def link_components(
             yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(raw, pa.binary())], ["id", "set"])
 
     known = map_arrow(plain, sets, "id bigint, set binary").filter(F.length("set") > 0)
-    return components(_compare(blocks.join(known, "id"), percent))
+    links_ = _compare(blocks.join(known, "id"), percent)
+    return components(links_.unionByName(twins.select(F.col("id").alias("a"), F.col("rep").alias("b"))))
 
 
 def near_duplicates(

@@ -115,3 +115,26 @@ def test_components(spark):
         root[y] = x
     want = {(x, find(x)) for a, b in edges if a != b for x in (a, b)}
     assert {tuple(r) for r in store.components(df).collect()} == want
+
+
+def test_blocks_of_short_documents(spark):
+    """Before, one block held all documents of one shingle, and a table of their number squared."""
+    met = spark.range(9000).selectExpr("id", "1 AS n", "5L AS lo", "5L AS hi", "0 AS side")
+    sides = J._blocks(met, J.BLOCK).groupBy("lo", "hi", "i", "j", "side").count()
+    assert 0 < sides.agg({"count": "max"}).first()[0] < 1.2 * J.BLOCK_DOCS
+
+
+def test_copies_stand_for_one(spark, monkeypatch):
+    """A hot group of short copies is not compared pair by pair; near copies still meet it."""
+    real = J.links
+
+    def links(left, right, percent):
+        assert len(left) * len(right) < 400
+        return real(left, right, percent)
+
+    monkeypatch.setattr(J, "links", links)
+    near = "b1 b2 b3 b4 b5 b6 b7 b8 b9 c1 c2 c3 c4 c5"
+    rows = [(k, "Page not found") for k in range(10, 500)] + [(k, near) for k in range(500, 700)]
+    rows += [(5, near + " x"), (6, near + " x y"), (7, "page not"), (600, "page not found"), (3, "Page  NOT found")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.near_duplicates(docs).collect()), key=str) == brute(rows)
