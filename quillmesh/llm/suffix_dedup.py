@@ -13,8 +13,8 @@ offset, hence
 2. Where a context occurs again, all of it goes.
 3. Contexts that occur once though their anchor occurs again are compared by the ranks
    of their windows: dealt by anchor, sorted, and counted. Of each context that occurs
-   often one takes part. An anchor with very many contexts deals out its windows one by
-   one instead, so that it is no hot key.
+   often one takes part, in whatever number of copies of a text it is. An anchor with
+   very many contexts deals out its windows one by one instead, so that it is no hot key.
 
 Ranks are 64-bit hashes in place of consecutive numbers, which would need a sort of all
 positions; ranks of equal strings are equal whatever the task.
@@ -133,23 +133,27 @@ def window_ranks(ranks: np.ndarray, half: int) -> np.ndarray:
     return mix(ranks[:-half] * np.uint64(0x9E3779B97F4A7C15) + ranks[half:])
 
 
-def scan(column: pa.Array, ids: np.ndarray, length: int):
-    """Yield (data, Ranks, kept anchors as indices, rows of them, keys, offset in the text).
+def scan(column: pa.Array, ids: pa.Array, length: int):
+    """Yield (data, Ranks, kept anchors as indices, rows of them, keys, owners, offset in the text).
+
+    A key is the hash of the text, an owner that of the text and the row's id.
 
     Rows shorter than ``length`` are passed over. A long text comes in parts with enough
     of its surroundings, each anchor in one part only.
     """
     margin = 2 * length
+    names = np.array([xxhash.xxh64_intdigest(str(i), _SEED) for i in ids.to_pylist()], np.uint64)
     for first, last, data, starts in slices(column, SLICE):
         sizes = np.diff(starts)
         raw = data.tobytes()
         keys = np.array([xxhash.xxh64_intdigest(raw[starts[i] : starts[i + 1]], _SEED) for i in range(last - first)], np.uint64)
+        owners = mix(keys + names[first:last])
         if last - first > 1 or len(data) <= 2 * SLICE:
             row = np.repeat(np.arange(last - first), sizes)
             found = Ranks(data, np.repeat(starts[:-1], sizes), np.repeat(starts[1:], sizes), length)
             kept = np.arange(len(found.anchors))
             own = row[found.anchors]
-            yield data, found, kept, first + own, keys[own], -starts[own]
+            yield data, found, kept, first + own, keys[own], owners[own], -starts[own]
             continue
         for a in range(0, len(data), SLICE):
             low, high = max(0, a - margin), min(len(data), a + SLICE + margin)
@@ -159,11 +163,12 @@ def scan(column: pa.Array, ids: np.ndarray, length: int):
             end = np.full(len(part), len(part))
             found = Ranks(part, begin, end, length)
             kept = np.flatnonzero((found.anchors + low >= a) & (found.anchors + low < a + SLICE))
-            yield part, found, kept, np.full(len(kept), first), np.repeat(keys, len(kept)), np.full(len(kept), low)
+            n = len(kept)
+            yield part, found, kept, np.full(n, first), np.repeat(keys, n), np.repeat(owners, n), np.full(n, low)
 
 
-def occurrence(context: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return mix(context + mix(key + at.astype(np.uint64)))
+def occurrence(context: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mix(context + mix(owner + at.astype(np.uint64)))
 
 
 def _rows(docs: DataFrame, length: int, make, schema: str) -> DataFrame:
@@ -201,12 +206,12 @@ def repeated_spans(
     half = length // 2
 
     def first_ranks(part, ids):
-        _, found, kept, _, keys, offset = part
+        _, found, kept, _, _, owners, offset = part
         at = found.anchors[kept]
         if not len(at):
             return None
         context = found.contexts(at)
-        return _signed(found.rank[at]), _signed(context), _signed(occurrence(context, keys, at + offset))
+        return _signed(found.rank[at]), _signed(context), _signed(occurrence(context, owners, at + offset))
 
     ranked = _rows(plain, length, first_ranks, "anchor bigint, context bigint, place bigint")
     contexts = ranked.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
@@ -217,7 +222,7 @@ def repeated_spans(
     many = share(membership(again.filter(F.col("contexts") > hot), F.col("anchor")))
 
     def whole_contexts(part, ids):
-        _, found, kept, rows, keys, offset = part
+        _, found, kept, rows, keys, _, offset = part
         at = found.anchors[kept]
         if not len(at):
             return None
@@ -235,45 +240,46 @@ def repeated_spans(
     spans = candidates.join(known, ["anchor", "context"], "left_semi").select("id", "key", "low", "high")
 
     def chosen(part, hot_ones: bool):
-        """Anchors whose windows are compared, as (index among kept, first and last + 1 window)."""
-        _, found, kept, rows, keys, offset = part
+        """Anchors whose windows are compared, as (index among kept, first and last + 1 window, place)."""
+        _, found, kept, _, _, owners, offset = part
         at = found.anchors[kept]
         if not len(at):
             return None
-        own = is_member(in_part.value, occurrence(found.contexts(at), keys, at + offset))
+        place = occurrence(found.contexts(at), owners, at + offset)
+        own = is_member(in_part.value, place)
         own &= is_member(many.value, found.rank[at]) == hot_ones
         if not own.any():
             return None
         own = np.flatnonzero(own)
         begin, end = found.owned(kept[own])
         some = end > begin
-        return (own[some], begin[some], end[some]) if some.any() else None
+        return (own[some], begin[some], end[some], place[own[some]]) if some.any() else None
 
     def part_contexts(part, ids):
         got = chosen(part, False)
         if got is None:
             return None
-        data, found, kept, rows, keys, offset = part
-        own, begin, end = got
+        data, found, kept, rows, keys, _, offset = part
+        own, begin, end, place = got
         raw = data.tobytes()
         texts = [raw[a : b + length - 1] for a, b in zip(begin.tolist(), end.tolist())]
-        return (_signed(found.rank[found.anchors[kept[own]]]), ids.take(pa.array(rows[own])), _signed(keys[own]),
+        return (_signed(found.rank[found.anchors[kept[own]]]), _signed(place), ids.take(pa.array(rows[own])), _signed(keys[own]),
                 begin + offset[own], pa.array(texts, pa.binary()))
 
     def hot_windows(part, ids):
         got = chosen(part, True)
         if got is None:
             return None
-        _, found, _, rows, keys, offset = part
-        own, begin, end = got
+        _, found, _, rows, keys, _, offset = part
+        own, begin, end, _ = got
         which = np.repeat(own, end - begin)
         at = np.arange(len(which)) - np.repeat(np.cumsum(end - begin) - (end - begin) - begin, end - begin)
         low = at + offset[which]
         rank = window_ranks(found.rank, half)[at] if length == 2 * half else found.rank[at]
         return _signed(rank), ids.take(pa.array(rows[which])), _signed(keys[which]), low
 
-    pieces = _rows(plain, length, part_contexts, f"anchor bigint, id {kind}, key bigint, low bigint, bytes binary")
-    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor")
+    pieces = _rows(plain, length, part_contexts, f"anchor bigint, place bigint, id {kind}, key bigint, low bigint, bytes binary")
+    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "place")
     spans = spans.unionByName(_compare_windows(dealt, length, kind))
     if not many.value.any():
         return spans
@@ -284,7 +290,11 @@ def repeated_spans(
 
 
 def _compare_windows(pieces: DataFrame, length: int, kind: str) -> DataFrame:
-    """Ranges of windows that occur twice among the pieces of one anchor."""
+    """Ranges of windows that occur twice among the pieces of one anchor.
+
+    Pieces come in order of anchor and place. Of those with one place, rows that have id
+    and text in common, the first takes part: all of their context goes anyway.
+    """
     half = length // 2
 
     def windows(texts: list[bytes], sizes: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -320,17 +330,19 @@ def _compare_windows(pieces: DataFrame, length: int, kind: str) -> DataFrame:
     ids_type: list = [None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, size, last, here = [], 0, None, None
         for batch in batches:
             ids_type[0] = batch.column("id").type
-            cols = [batch.column(c).to_pylist() for c in ("anchor", "id", "key", "low", "bytes")]
-            for anchor, *row in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("anchor", "place", "id", "key", "low", "bytes")]
+            for anchor, place, *row in zip(*cols):
+                if anchor == last and place == here:
+                    continue
                 if anchor != last and size > CHUNK // 8:
                     yield close(held)
                     held, size = [], 0
                 held.append(tuple(row))
                 size += len(row[3])
-                last = anchor
+                last, here = anchor, place
         if held:
             yield close(held)
 

@@ -66,3 +66,25 @@ def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: tuple(r)[1:] for r in S.op5(spark, "/root/testdata/sf0.001").collect()}
     assert [got[r.doc_id] for r in docs] == brute([r.text for r in docs], 400)
+
+
+@pytest.mark.parametrize("same_id", [False, True])
+def test_one_piece_per_context(spark, same_id, monkeypatch):
+    """Before, every copy of a text sent its pieces to the task of an anchor that has another context."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh") for _ in range(900))
+    texts = [text] * 60 + [text[:430] + "#" + text[431:], text[:450] + "?" + text[450:]]
+    rows = [(7 if same_id else i, t) for i, t in enumerate(texts[:60])] + [(100, texts[60]), (101, texts[61])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    real, most = S._compare_windows, []
+
+    def compare(pieces, length, kind):
+        most.append(pieces.groupBy("anchor").agg(F.count_distinct("place").alias("n")).agg(F.max("n")).first()[0])
+        if not same_id:
+            most.append(pieces.groupBy("anchor").count().agg(F.max("count")).first()[0])
+        return real(pieces, length, kind)
+
+    monkeypatch.setattr(S, "_compare_windows", compare)
+    got = S.remove_repeats(docs, length=400).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((i, *w) for (i, _), w in zip(rows, brute(texts, 400)))
+    assert 1 < max(most) <= 3
