@@ -78,7 +78,7 @@ class Ranks:
 
     def __init__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
         """``first`` and ``last`` bound, per byte, the text that it is in."""
-        self.half = length // 2
+        self.half = length - length // 2  # the two halves of an odd length overlap
         self.width = length - self.half + 1
         self.length, self.first, self.last = length, first, last
         n = len(data)
@@ -128,9 +128,9 @@ class Ranks:
         return begin, begin + own.sum(1)
 
 
-def window_ranks(ranks: np.ndarray, half: int) -> np.ndarray:
+def window_ranks(ranks: np.ndarray, offset: int) -> np.ndarray:
     """Ranks of whole strings: the pairs of two half ranks at the offset between them."""
-    return mix(ranks[:-half] * np.uint64(0x9E3779B97F4A7C15) + ranks[half:])
+    return mix(ranks[:-offset] * np.uint64(0x9E3779B97F4A7C15) + ranks[offset:])
 
 
 def scan(column: pa.Array, ids: pa.Array, length: int):
@@ -203,7 +203,6 @@ def repeated_spans(
     kind = docs.schema[row_id].dataType.simpleString()
     plain = docs.select(docs[row_id].alias("_id"), docs[text].alias("_text"))
     share = spark.sparkContext.broadcast
-    half = length // 2
 
     def first_ranks(part, ids):
         _, found, kept, _, _, owners, offset = part
@@ -275,7 +274,7 @@ def repeated_spans(
         which = np.repeat(own, end - begin)
         at = np.arange(len(which)) - np.repeat(np.cumsum(end - begin) - (end - begin) - begin, end - begin)
         low = at + offset[which]
-        rank = window_ranks(found.rank, half)[at] if length == 2 * half else found.rank[at]
+        rank = window_ranks(found.rank, length // 2)[at]
         return _signed(rank), ids.take(pa.array(rows[which])), _signed(keys[which]), low
 
     pieces = _rows(plain, length, part_contexts, f"anchor bigint, place bigint, id {kind}, key bigint, low bigint, bytes binary")
@@ -295,7 +294,7 @@ def _compare_windows(pieces: DataFrame, length: int, kind: str) -> DataFrame:
     Pieces come in order of anchor and place. Of those with one place, rows that have id
     and text in common, the first takes part: all of their context goes anyway.
     """
-    half = length // 2
+    half = length - length // 2
 
     def windows(texts: list[bytes], sizes: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Ranks of all windows of some pieces, one piece behind the other."""
@@ -305,7 +304,7 @@ def _compare_windows(pieces: DataFrame, length: int, kind: str) -> DataFrame:
         np.cumsum(t["values"][data] * t["base_pow"][: len(data)], out=sums[1:])
         rank = mix((sums[half:] - sums[:-half]) * t["inverse_pow"][: len(data) - half + 1])
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return window_ranks(rank, half)[place + np.repeat(np.cumsum(sizes) - sizes, count)]
+        return window_ranks(rank, length - half)[place + np.repeat(np.cumsum(sizes) - sizes, count)]
 
     def close(rows: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([len(r[3]) for r in rows])

@@ -88,3 +88,17 @@ def test_one_piece_per_context(spark, same_id, monkeypatch):
     got = S.remove_repeats(docs, length=400).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((i, *w) for (i, _), w in zip(rows, brute(texts, 400)))
     assert 1 < max(most) <= 3
+
+
+@pytest.mark.parametrize("hot", [4096, 0])
+def test_odd_length(spark, hot):
+    """Strings that agree in all bytes but the last or the middle one stay."""
+    length, rng = 31, random.Random(6)
+    make = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = corpus(4, length)
+    for _ in range(20):
+        s = make(length)
+        texts += [make(40) + s + "x" + make(40), make(40) + s[:-1] + "#" + make(40), make(40) + s[:15] + "#" + s[16:] + make(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(docs, length=length, hot=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, length)
