@@ -203,7 +203,8 @@ def plan_sequences(hist: np.ndarray, planned: int = PLANNED) -> Plan:
     taken = np.zeros(window, np.int64)
     spans, parts, items, sequences = [], [], 0, 0
     while left.any():
-        copies = min(-(-int(left.sum()) // planned), int(left.max()))
+        # With more placements than lengths, some length has pieces for every copy.
+        copies = -(-int(left.sum()) // max(planned, 4 * window))
         now = left // copies
         lengths = np.repeat(np.arange(window)[::-1], now[::-1])
         sequence, offset, used = place(lengths, window)
