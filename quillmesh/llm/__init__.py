@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = [
     "url_filter", "bpe", "quality", "language_id", "packing", "fingerprints", "line_dedup", "jaccard_join",
-    "suffix_dedup", "class_lm", "sum_squares", "merkle",
+    "suffix_dedup", "class_lm", "sum_squares", "merkle", "phrases",
 ]
 
 
