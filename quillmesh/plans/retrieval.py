@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillmesh.functions import positions, ranking
 from quillmesh.functions.text import sentences
-from quillmesh.operators import chunking, fusion, retrieval, routing
+from quillmesh.operators import chunking, fusion, retrieval, routing, splitting, text_index
 from quillmesh.plans.common import query
 from quillmesh.plans.privacy import _WS, SQL_PAIRS, dialogue_pairs, sql_sentences
+from quillmesh.session import ensure_checkpoint_dir
 
 
 def r6(*names):
@@ -42,6 +45,70 @@ def chunk_chars(read):
     return chunking.chunk_chars(read("documents"), "doc_id", "text", 500, 20)
 
 
+def sql_fold(size: int, overlap: int, joined: str) -> str:
+    """CTEs from ``units(doc_id, u, t, n, run)`` on to ``chunk(doc_id, c, text, total)``.
+
+    Every unit knows the last one of a chunk that starts with it, and where the chunk
+    after that would start; the recursion goes from start to start.
+    """
+    return f"""cum AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY u) AS x FROM units),
+reach AS MATERIALIZED (SELECT a.doc_id, a.u, a.run, max(b.u) AS e, max(b.x) AS ex FROM cum a JOIN cum b
+  ON a.doc_id = b.doc_id AND a.run = b.run AND b.u BETWEEN a.u AND a.u + {size} AND b.x - a.x + a.n <= {size} GROUP BY a.doc_id, a.u, a.run),
+nxt AS MATERIALIZED (SELECT r.doc_id, r.u, r.e, coalesce(min(s.u), r.e + 1) AS nu FROM reach r
+  LEFT JOIN cum f ON f.doc_id = r.doc_id AND f.u = r.e + 1 AND f.run = r.run
+  LEFT JOIN cum s ON s.doc_id = r.doc_id AND s.u > r.u AND s.u <= r.e AND r.ex - s.x + s.n <= {overlap} AND f.x - s.x + s.n <= {size}
+  GROUP BY r.doc_id, r.u, r.e),
+chain AS (SELECT doc_id, u, e, nu, 0::BIGINT AS c FROM nxt WHERE u = 1
+  UNION ALL SELECT n.doc_id, n.u, n.e, n.nu, c + 1 FROM chain JOIN nxt n ON chain.doc_id = n.doc_id AND n.u = chain.nu),
+chunk AS (SELECT chain.doc_id, c, string_agg(t, '{joined}' ORDER BY cum.u) AS text, sum(n)::BIGINT AS total
+  FROM chain JOIN cum ON cum.doc_id = chain.doc_id AND cum.u BETWEEN chain.u AND chain.e GROUP BY chain.doc_id, c)"""
+
+
+@query(
+    "chunk_sentences",
+    f"""WITH RECURSIVE sent AS (SELECT doc_id, position, sentence, list_filter(string_split_regex(trim(sentence, {_WS}), '[ \\t\\n\\r\\f]+'), lambda t: t <> '') AS toks
+  FROM ({sql_sentences("documents", "doc_id")}) WHERE sentence <> ''),
+parts AS (SELECT doc_id, position, len(toks) AS k, sentence, toks, unnest(range(0, len(toks), 64)) AS s FROM sent),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position, s) AS u, 0 AS run,
+  CASE WHEN k <= 64 THEN sentence ELSE array_to_string(toks[s + 1 : s + 64], ' ') END AS t, least(64, k - s) AS n FROM parts),
+{sql_fold(64, 20, " ")} SELECT doc_id, c AS pos, text, total AS n_tokens FROM chunk""",
+)
+def chunk_sentences(read):
+    return splitting.chunk_sentences(read("documents"), "doc_id", "text", 64, 20)
+
+
+def sql_pieces(size: int, overlap: int, separators) -> str:
+    """CTEs up to ``units``: pieces too long are split level by level, at last by characters."""
+    out = ["v0 AS (SELECT doc_id, [{'t': text, 'b': false}] AS v FROM documents WHERE length(text) > 0)"]
+    same = f"[{{'t': p.t, 'b': p.b OR (i > 1 AND length(v[i - 1].t) > {size})}}]"
+    levels = [f"chr({ord(s[0])})" + f" || chr({ord(s[0])})" * (len(s) - 1) for s in separators]
+    splits = [
+        f"list_transform(list_filter(list_transform(string_split(p.t, {s}), lambda x, j: CASE WHEN j > 1 THEN {s} || x ELSE x END), lambda x: x <> ''), lambda x, j: {{'t': x, 'b': j = 1}})"
+        for s in levels
+    ]
+    splits.append(
+        f"list_transform(range(0, greatest(length(p.t) - {1 + overlap}, 0) + 1, {size - overlap}), lambda s: {{'t': substr(p.t, s + 1, {size}), 'b': true}})"
+    )
+    for k, split in enumerate(splits):
+        out.append(
+            f"v{k + 1} AS MATERIALIZED (SELECT doc_id, flatten(list_transform(v, lambda p, i: CASE WHEN length(p.t) <= {size} THEN {same} ELSE {split} END)) AS v FROM v{k})"
+        )
+    out.append(f"""units AS MATERIALIZED (SELECT doc_id, u, v[u].t AS t, length(v[u].t) AS n, sum(v[u].b::INT) OVER (PARTITION BY doc_id ORDER BY u) AS run
+  FROM (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS u FROM v{len(splits)}))""")
+    return ", ".join(out)
+
+
+@query(
+    "chunk_recursive",
+    f"""WITH RECURSIVE {sql_pieces(500, 20, splitting.SEPARATORS)},
+{sql_fold(500, 20, "")},
+cut AS (SELECT doc_id, c, trim(text, {_WS}) AS text FROM chunk)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS pos, text FROM cut WHERE text <> ''""",
+)
+def chunk_recursive(read):
+    return splitting.chunk_recursive(read("documents"), "doc_id", "text")
+
+
 @query(
     "chunk_hierarchical",
     " UNION ALL ".join(
@@ -254,6 +321,56 @@ def federated_bm25(read):
     return retrieval.bm25(text_queries(read), docs(read), 3, within="source")
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def stored_index(read, within=None):
+    """The index of the documents, built at its first use by an application."""
+    corpus = docs(read)
+    key = (corpus.sparkSession.sparkContext.applicationId, within, *corpus.inputFiles())
+    if key not in _INDEXES:
+        path = f"{ensure_checkpoint_dir(corpus.sparkSession).rstrip('/')}/quillmesh-index-{uuid.uuid4().hex}"
+        text_index.build_text_index(corpus, path, within)
+        _INDEXES[key] = path
+    return text_index.load_text_index(corpus.sparkSession, _INDEXES[key])
+
+
+@query(
+    "search_index_lists",
+    f"""WITH q AS (SELECT doc_id AS query_id, text FROM documents), {sql_bm25("q")}, src AS (SELECT doc_id, source FROM documents)
+SELECT term, source, count(*) AS df, ceil(count(*) / 128)::BIGINT AS n_blocks FROM po JOIN src USING (doc_id) GROUP BY term, source""",
+)
+def index_lists(read):
+    """Terms, documents and blocks of the index by source; here no list has two parts."""
+    found = stored_index(read, "source").lists
+    return found.select("term", F.col("grp").alias("source"), "df", "n_blocks")
+
+
+@query(
+    "search_bm25_indexed",
+    f"WITH {SQL_BM} SELECT query_id, doc_id, score, rank FROM ({sql_top('bm', 3, 'score')})",
+)
+def bm25_indexed(read):
+    return text_index.index_bm25(stored_index(read), text_queries(read), 3)
+
+
+@query(
+    "search_keyword_indexed",
+    f"WITH {SQL_BM} SELECT query_id, doc_id, score, rank FROM ({sql_top('kw', 5, 'score')})",
+)
+def keyword_indexed(read):
+    return text_index.index_keywords(stored_index(read), text_queries(read), 5)
+
+
+@query(
+    "search_federated_indexed",
+    f"""WITH {SQL_BM}, src AS (SELECT doc_id, source FROM documents)
+SELECT query_id, source, doc_id, score, rank FROM ({sql_top("(SELECT bm.*, source FROM bm JOIN src USING (doc_id))", 3, "score", "query_id, source")})""",
+)
+def federated_indexed(read):
+    return text_index.index_bm25(stored_index(read, "source"), text_queries(read), 3)
+
+
 # ---------------------------------------------------------------- fusion
 
 
