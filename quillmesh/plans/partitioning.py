@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmesh.operators import graph, partitioning
+from quillmesh.operators import graph, modularity, partitioning
 from quillmesh.plans.common import query
 
 
@@ -354,6 +354,17 @@ def split_communities(read):
     return graph.split_communities(edges(read), 4, 3)
 
 
+@query("graph_modularity")
+def modularity_communities(read):
+    """Node, community; levels of local moving have no SQL, tests compare by brute force."""
+    return modularity.modularity_communities(edges(read)).membership
+
+
+@query("graph_split_modularity")
+def split_modularity(read):
+    return modularity.split_modularity(edges(read), 4)
+
+
 SQL_ASSIGN = f"{SQL_EDGES}, asg AS (SELECT node, node % 4 AS client_id FROM (SELECT src AS node FROM ed UNION SELECT dst FROM ed))"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the checkpoint folder.
+
+    For long loops: a checkpoint keeps the constraints of its plan, which join with those
+    of the rounds before until planning takes longer than the work.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/quillmesh-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Scans of more splits than this are never dealt anew.
 SPREAD_SPLITS = 4
 
