@@ -354,14 +354,9 @@ def split_communities(read):
     return graph.split_communities(edges(read), 4, 3)
 
 
-@query("graph_modularity")
-def modularity_communities(read):
-    """Node, community; levels of local moving have no SQL, tests compare by brute force."""
-    return modularity.modularity_communities(edges(read)).membership
-
-
 @query("graph_split_modularity")
 def split_modularity(read):
+    """Levels of local moving have no SQL; tests compare modularity and fixed points by brute force."""
     return modularity.split_modularity(edges(read), 4)
 
 
