@@ -48,11 +48,6 @@ HEADLINE = [
     "fuse_auto_merge",
     "metric_meteor",
     "metric_rouge_lsum",
-    "search_bm25_indexed",
-    "search_federated_indexed",
-    "search_keyword_indexed",
-    "chunk_sentences",
-    "chunk_recursive",
 ]
 
 

@@ -6,8 +6,9 @@ of impact (what a posting adds to a score, before the term's weight), in blocks
 largest impact as upper bound. Blocks are stored sorted by term, so that a reader of a few
 terms skips most files and row groups.
 
-The search is exact and reads blocks in three steps. The first blocks of all lists give k
-documents per query whose scores cannot be lower, hence a threshold. A document above it
+The search is exact and reads blocks in three steps. The first blocks of all lists give
+good documents, and the whole scores of some of them a threshold that k documents reach.
+A document above it
 has one of the query's essential terms, those that the others cannot make up for; of
 their blocks only those are read whose bound can still reach the threshold. What is then
 left of the documents is looked up among the other terms, in the parts that hold them.
@@ -27,6 +28,8 @@ from quillmesh.session import cut_lineage
 #: Postings of a block, and of a part at most on average.
 BLOCK = 128
 PART = 8192
+#: Documents per wanted one whose whole scores are looked up for the threshold.
+AHEAD = 4
 #: What rounding may take from a sum of impacts.
 _SLACK = 1e-6
 
@@ -76,7 +79,8 @@ def build_text_index(
         F.first("grp").alias("grp"), F.first("parts").alias("parts"), F.count(F.lit(1)).alias("n"), F.max("impact").alias("top"),
         F.collect_list(F.struct("doc_id", "impact")).alias("postings"),
     )
-    ranged = blocks.repartitionByRange("term", "g", "part").sortWithinPartitions("term", "g", "part", "block")
+    # Stored, since the sample of the range partitioner would form all blocks once more.
+    ranged = cut_lineage(blocks).repartitionByRange("term", "g", "part").sortWithinPartitions("term", "g", "part", "block")
     ranged.write.mode("overwrite").parquet(f"{path}/blocks")
     spark = corpus.sparkSession
     stored = spark.read.parquet(f"{path}/blocks")
@@ -112,21 +116,39 @@ def _postings(lists: DataFrame, blocks: DataFrame) -> DataFrame:
 @dataclass
 class _Steps:
     first: DataFrame  # lists with the threshold
+    near: DataFrame  # documents whose whole scores give the threshold
     essential: DataFrame  # (list, block) read for candidates
     candidates: DataFrame
     wanted: DataFrame  # (query_id, g, doc_id, term, w, part) to be looked up
 
 
+def _wanted(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(query_id, g, doc_id, term, w, part): where a document stands if it has a term."""
+    wanted = docs.join(lists.select("query_id", "g", "term", "parts", "w"), ["query_id", "g"])
+    return wanted.withColumn("part", _part(F.col("doc_id"), F.col("parts"))).drop("parts")
+
+
+def _looked_up(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, g, doc_id, more): what the wanted postings add to a score."""
+    found = blocks.join(wanted.select("term", "g", "part").distinct(), ["term", "g", "part"], "left_semi")
+    found = found.select("term", "g", F.inline("postings"))
+    found = wanted.drop("part").join(found, ["term", "g", "doc_id"])
+    return found.groupBy("query_id", "g", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("more"))
+
+
 def _steps(index: TextIndex, queries: DataFrame, k: int) -> _Steps:
     keys = ["query_id", "g"]
     lists = cut_lineage(_query_lists(index, queries))
     blocks = index.blocks.select("term", "g", "part", "block", F.col("top").alias("bound"), "postings")
     begun = _postings(lists.select(*keys, "term", "w"), blocks.filter("block = 0"))
     begun = begun.groupBy(*keys, "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
-    least = top_k(begun, k, keys).groupBy(*keys).agg(
+    # The whole scores of some of the best so far give a threshold close to the kth score.
+    near = cut_lineage(top_k(begun, AHEAD * k, keys).select(*keys, "doc_id"))
+    exact = _looked_up(blocks, _wanted(near, lists))
+    least = top_k(exact.withColumnRenamed("more", "score"), k, keys).groupBy(*keys).agg(
         F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least")
     )
-    least = least.withColumn("least", F.col("least") - _SLACK)
+    least = cut_lineage(least.withColumn("least", F.col("least") - _SLACK))
     rising = Window.partitionBy(*keys).orderBy("most", "term")
     whole = Window.partitionBy(*keys)
     lists = lists.join(least, keys).withColumn("upto", F.sum("most").over(rising)).withColumn("all", F.sum("most").over(whole))
@@ -141,18 +163,14 @@ def _steps(index: TextIndex, queries: DataFrame, k: int) -> _Steps:
     slack = others.groupBy(*keys).agg(F.sum("most").alias("slack"))
     candidates = scored.join(slack, keys, "left").filter(F.col("score") + F.coalesce("slack", F.lit(0.0)) >= F.col("least"))
     candidates = cut_lineage(candidates.select(*keys, "grp", "doc_id", "score"))
-    wanted = candidates.select(*keys, "doc_id").join(others.select(*keys, "term", "parts", "w"), keys)
-    wanted = wanted.withColumn("part", _part(F.col("doc_id"), F.col("parts"))).drop("parts")
-    return _Steps(lists, essential, candidates, wanted)
+    wanted = _wanted(candidates.select(*keys, "doc_id"), others)
+    return _Steps(lists, near, essential, candidates, wanted)
 
 
 def index_bm25(index: TextIndex, queries: DataFrame, k: int = 3, digits: int = DIGITS) -> DataFrame:
     """BM25 top-k of ``queries(query_id, text)``, as ``retrieval.bm25`` gives them."""
     steps, keys = _steps(index, queries, k), ["query_id", "g", "doc_id"]
-    lookups = index.blocks.join(steps.wanted.select("term", "g", "part").distinct(), ["term", "g", "part"], "left_semi")
-    lookups = lookups.select("term", "g", F.inline("postings"))
-    more = steps.wanted.drop("part").join(lookups, ["term", "g", "doc_id"])
-    more = more.groupBy(*keys).agg(F.sum(F.col("w") * F.col("impact")).alias("more"))
+    more = _looked_up(index.blocks, steps.wanted)
     found = steps.candidates.join(more, keys, "left")
     score = F.bround(F.col("score") + F.coalesce("more", F.lit(0.0)), digits)
     return _finished(index, found.withColumn("score", score), k)
@@ -178,7 +196,8 @@ def blocks_read(index: TextIndex, queries: DataFrame, k: int = 3) -> DataFrame:
     steps = _steps(index, queries, k)
     own = ["query_id", "term", "g", "part", "block"]
     firsts = steps.first.select("query_id", "term", "g").join(index.blocks.filter("block = 0"), ["term", "g"]).select(*own)
-    wanted = steps.wanted.select("query_id", "term", "g", "part").distinct().join(index.blocks, ["term", "g", "part"]).select(*own)
+    near = _wanted(steps.near, steps.first).select("query_id", "term", "g", "part")
+    wanted = steps.wanted.select("query_id", "term", "g", "part").unionByName(near).distinct().join(index.blocks, ["term", "g", "part"]).select(*own)
     read = firsts.unionByName(steps.essential.select(*own)).unionByName(wanted).distinct()
     return steps.first.groupBy("query_id").agg(F.sum("n_blocks").alias("n_blocks")).join(
         read.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_read")), "query_id"
