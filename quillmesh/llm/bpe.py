@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm.common import map_arrow, query, slices, table, task_cache
+from quillmesh.llm.common import map_arrow, query, slices, table, task_cache, trim
 
 NONE = np.int32(1 << 30)
 #: Words of more bytes go through a heap, since scans are quadratic in the length.
@@ -32,7 +32,8 @@ SHORT_WORD = 64
 #: becomes the older one, whose words come back as they are met.
 CACHE_WORDS = 200_000
 SLICE = 1 << 20
-BLOCK_WORDS = 20_000
+#: Words of a matrix: its arrays and their temporaries take some 40 bytes per word and byte.
+BLOCK_WORDS = 4_000
 
 # The characters for which Python's lower(), split() and tables agree with the
 # library's on every version: all others take its normalizer and splitter.
@@ -290,7 +291,12 @@ def codec_source(path: str | None = None) -> str:
 
 
 def worker_codec(source: str) -> Codec:
-    return task_cache(f"codec:{hash(source)}", lambda: Codec(source))
+    def build() -> Codec:
+        codec = Codec(source)
+        trim()  # what parsing the file took
+        return codec
+
+    return task_cache(f"codec:{hash(source)}", build)
 
 
 def encoded(batch: pa.Array, source: str) -> Iterator[tuple[int, np.ndarray, Codec]]:
