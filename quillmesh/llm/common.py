@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -17,6 +18,8 @@ ORACLE: dict[str, str] = {}
 
 #: Rows of one Arrow batch at most, so that a batch of long texts fits in a worker.
 BATCH_ROWS = 2000
+#: Bytes of one at most, up to its last row; the JVM and the worker hold a few each.
+BATCH_BYTES = 2 << 20
 #: Text bytes that a task works on at once; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
 
@@ -40,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows.
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``.
 
     Workers go on to tasks of other operators, so each task ends by giving the memory
     that it freed back to the system.
@@ -52,13 +55,20 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
         trim()
 
     conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    rows, size = (f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes"))
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    if _bytes(conf.get(size)) > BATCH_BYTES:
+        conf.set(size, str(BATCH_BYTES))
     return df.mapInArrow(task, schema)
 
 
+def _bytes(setting: str) -> int:
+    """A size as Spark's settings write it: ``4096``, ``64m``, ``67108864b``."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def trim() -> None:
     """Return the C allocator's free pages, where the system's library can."""
     gc.collect()
