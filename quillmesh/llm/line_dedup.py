@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import free_names, query, table
 from quillmesh.session import cut_lineage
 
-#: A line on more than this share of its site's pages goes, if on so many pages at least.
+#: A line on more than this share of its site's pages goes, if other pages have it too:
+#: what one page alone has is its own text, however few pages its site has.
 RATIO = 0.1
-MIN_PAGES = 5
+MIN_PAGES = 2
 #: Boilerplate lines (16 bytes each, besides the site's name) that are broadcast at most.
 BROADCAST_LINES = 100_000
 #: Parts of a site in the join that is used beyond.

@@ -42,3 +42,11 @@ def test_other_columns(spark):
     docs = spark.createDataFrame([(1, "m", "a", 7)], "`_lines` int, `n_lines` string, text string, source int")
     out = L.drop_boilerplate(docs)
     assert [tuple(r) for r in out.collect()] == [(1, "m", "a", 7, 1, 0)] and out.columns[4:] == ["n_lines_", "n_dropped"]
+
+
+def test_small_sites_lose_what_most_of_their_pages_share(spark):
+    rows = [(1, "two", "menu\nown a"), (2, "two", "menu\nown b"), (3, "one", "menu\nonly page")]
+    rows += [(10 + k, "ten", f"menu\npage {k}" if k < 4 else f"page {k}") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = {r["doc_id"]: r["text"] for r in L.drop_boilerplate(docs).collect()}
+    assert out == {1: "own a", 2: "own b", 3: "menu\nonly page"} | {10 + k: f"page {k}" for k in range(10)}
