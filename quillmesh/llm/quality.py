@@ -206,8 +206,9 @@ def fit_quality(
 ) -> Trees:
     """Fit the trees on at most ``most`` labelled rows with a known 0/1 label.
 
-    Several labels of one id count as their maximum; labels without a document, null
-    ids and null labels are left out. Without usable labels the model keeps all.
+    Several labels of one id count as their maximum, several documents of one id as the
+    one whose features come first in order; labels without a document, null ids and null
+    labels are left out. Without usable labels the model keeps all.
     """
     spark = docs.sparkSession
     sample = (
@@ -221,8 +222,8 @@ def fit_quality(
     kind = labels.schema[row_id].dataType
     small = spark.createDataFrame([(k,) for k in rows], f"`{row_id}` {kind.simpleString()}")
     own = docs.join(F.broadcast(small), row_id, "left_semi")
-    found = document_features(own, row_id, text).select(row_id, "features").limit(4 * most).collect()
-    found.sort(key=lambda r: (r[0], r[1]))
+    own = document_features(own, row_id, text).groupBy(row_id).agg(F.min("features").alias("features"))
+    found = own.orderBy(row_id).collect()  # at most `most` rows
     x = np.array([r[1] for r in found]).reshape(-1, len(FEATURES))
     y = np.array([rows[r[0]] for r in found])
     return fit_trees(x, y, np.array(list(FEATURES.values())))

@@ -76,3 +76,14 @@ def test_held_out_accuracy(spark):
     model = quality.fit_quality(docs, labels.filter(~held))
     out = quality.judge_quality(docs, model).join(labels.filter(held), "doc_id").collect()
     assert np.mean([(r.score >= 0.5) == (r.quality == 1) for r in out]) > 0.93
+
+
+def test_repeated_ids_fit_alike_in_any_layout(spark):
+    rows = [(i, "word " * (5 + i) + ("# " * k)) for i in range(30) for k in (0, 3, 9, 1, 7, 5)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    fits = []
+    for rows_, parts in ((rows, 1), (rows[::-1], 7)):
+        docs = spark.createDataFrame(rows_, "doc_id long, text string").repartition(parts)
+        fits.append(quality.fit_quality(docs, labels, most=20))
+    for a, b in zip(*(vars(f).values() for f in fits)):
+        assert np.array_equal(a, b)
