@@ -3,27 +3,42 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm.common import map_arrow, query, table, task_cache
+from quillmesh.llm.common import free_names, map_arrow, query, table, task_cache
 
-#: One of these anywhere in the URL, at word boundaries, is enough to block.
+#: Points that block, from at least ``SOFT_TERMS`` distinct soft terms; one strict term
+#: is enough by itself.
+SOFT_LIMIT = 4
+SOFT_TERMS = 2
+#: Terms that block alone.
 STRICT = (
     "porn", "porno", "xxx", "hentai", "escort", "escorts", "camgirls", "milf", "nsfw",
     "viagra", "cialis", "warez", "sexcam", "sexchat",
 )
-#: Several different ones of these are enough to block.
-SOFT = (
-    "adult", "sex", "sexy", "nude", "naked", "hot", "cam", "cams", "dating", "casino", "poker",
-    "bet", "betting", "slots", "jackpot", "loan", "loans", "payday", "pills", "pharmacy", "cheap",
-    "free", "crack", "keygen", "torrent", "spam", "clickbait", "replica", "farm",
-)
-#: Distinct soft terms that block.
-SOFT_LIMIT = 2
+#: Soft terms by points: 3 for those that plain pages rarely have in an address, 2 for
+#: those they sometimes have, 1 for everyday words that only strengthen another.
+SOFT = {
+    3: (
+        "adult", "adults", "sex", "sexy", "nude", "nudes", "erotic", "fetish", "casino", "casinos",
+        "poker", "roulette", "bet", "bets", "betting", "gambling", "slots", "jackpot", "payday",
+        "pill", "pills", "keygen", "torrent", "torrents", "spam", "clickbait", "replica", "replicas",
+    ),
+    2: (
+        "ad", "ads", "adserver", "banner", "banners", "popup", "popups", "popunder", "track", "tracker",
+        "tracking", "naked", "cam", "cams", "webcam", "dating", "hookup", "singles", "loan", "loans",
+        "lottery", "lotto", "pharmacy", "rx", "crack", "cracked", "serials", "followers", "seo",
+    ),
+    1: (
+        "x", "hot", "free", "cheap", "win", "wins", "winner", "bonus", "click", "clicks", "farm", "farms",
+        "girls", "live", "online", "cash", "credit", "instant", "deal", "deals", "offer", "offers",
+        "discount", "bonuses", "spin", "spins", "vip",
+    ),
+}
 #: (verdict, host, path): the rules of the registered query.
 RULES = (
     ("allow", "com", "/"),
@@ -46,6 +61,13 @@ def split_url(url: str | None) -> tuple[str, str]:
     return ascii_lower(host), path
 
 
+def plain_url(url: str) -> str:
+    """The URL with its escaped ASCII characters as they are, A-Z lower-cased; an escaped
+    byte of any other character becomes a blank, which ends a word as that character does."""
+    text = re.sub(r"%[89A-Fa-f][0-9A-Fa-f]", " ", url)
+    return ascii_lower(re.sub(r"%([0-7][0-9A-Fa-f])", lambda m: chr(int(m[1], 16)), text))
+
+
 def ascii_lower(s: str) -> str:
     return s.lower() if s.isascii() else re.sub("[A-Z]+", lambda m: m.group().lower(), s)
 
@@ -74,21 +96,25 @@ class Rules:
 
 
 class Vocabulary:
-    """Counts of terms by one Aho-Corasick pass over the lower-cased URL."""
+    """Hits of terms by one Aho-Corasick pass over the plain URL.
+
+    ``soft`` has the terms of each number of points; a term of several has the most.
+    """
 
-    def __init__(self, strict: Sequence[str], soft: Sequence[str]):
+    def __init__(self, strict: Sequence[str], soft: Mapping[int, Sequence[str]]):
+        self.points = {w.lower(): n for n in sorted(soft) for w in soft[n]}
+        self.strict = {w.lower() for w in strict}
         self.automaton = ahocorasick.Automaton()
-        for word in {w.lower() for w in (*strict, *soft)}:
+        for word in self.strict | self.points.keys():
             self.automaton.add_word(word, word)
         self.automaton.make_automaton()
-        self.strict = {w.lower() for w in strict}
 
-    def hits(self, url: str) -> tuple[int, set[str]]:
-        """Strict hits and the distinct soft terms; a term stands between characters
-        other than ASCII letters and digits, or the ends."""
-        text, strict, soft = ascii_lower(url), 0, set()
+    def hits(self, url: str) -> tuple[int, int, int]:
+        """Strict hits, distinct soft terms and their points; a term stands between
+        characters other than ASCII letters and digits, or the ends."""
+        text, strict, soft = plain_url(url), 0, set()
         if len(self.automaton) == 0:
-            return 0, soft
+            return 0, 0, 0
         for end, word in self.automaton.iter(text):
             before, after = end - len(word), end + 1
             if before >= 0 and _inner(text[before]) or after < len(text) and _inner(text[after]):
@@ -97,7 +123,7 @@ class Vocabulary:
                 strict += 1
             else:
                 soft.add(word)
-        return strict, soft
+        return strict, len(soft), sum(self.points[w] for w in soft)
 
 
 def _inner(c: str) -> bool:
@@ -109,45 +135,52 @@ def filter_urls(
     url: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
     strict: Sequence[str] = STRICT,
-    soft: Sequence[str] = SOFT,
+    soft: Mapping[int, Sequence[str]] = SOFT,
     soft_limit: int = SOFT_LIMIT,
+    soft_terms: int = SOFT_TERMS,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``keep`` columns, host, path, rule, strict_hits, soft_hits and verdict per row.
-
-    A null URL, or one without ``://``, has an empty host and path and no rule; a
-    null URL has no hits and is allowed. Rows are independent: nothing is shuffled,
-    repeated rows stay, and only ``url`` and ``keep`` are read.
+    """``keep`` columns, host, path, rule, strict_hits, soft_hits, soft_points and verdict
+    per row.
+
+    Without a rule, a URL is blocked by one strict term, or by ``soft_terms`` distinct
+    soft ones with ``soft_limit`` points. A null URL, or one without ``://``, has an empty
+    host and path and no rule; a null URL has no hits and is allowed. Rows are
+    independent: nothing is shuffled, repeated rows stay, and only ``url`` and ``keep``
+    are read. A result whose name ``keep`` has already gets underscores added.
     """
-    rules, strict, soft = tuple(rules), tuple(strict), tuple(soft)
+    rules, strict = tuple(rules), tuple(strict)
+    terms = tuple((n, tuple(soft[n])) for n in sorted(soft))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(
-        [*(f"`{c}` {kinds[c]}" for c in keep), "host string, path string, rule string",
-         "strict_hits bigint, soft_hits bigint, verdict string"]
-    )
+    inner = [f"c{i}" for i in range(len(keep))]
+    sorts = ["string"] * 3 + ["bigint"] * 3 + ["string"]
+    schema = ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(inner, keep)), *(f"r{i} {k}" for i, k in enumerate(sorts))])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, words = task_cache(
-            f"url:{hash((rules, strict, soft))}", lambda: (Rules(rules), Vocabulary(strict, soft))
+            f"url:{hash((rules, strict, terms))}", lambda: (Rules(rules), Vocabulary(strict, dict(terms)))
         )
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in sorts]
             for value in batch.column("_url").to_pylist():
                 host, path = split_url(value)
                 found = table_.find(host, path)
-                n, own = words.hits(value) if value is not None else (0, set())
+                n, own, points = words.hits(value) if value is not None else (0, 0, 0)
                 if found:
                     name, verdict = found
                 else:
-                    name, verdict = None, "block" if n or len(own) >= soft_limit else "allow"
-                for c, v in zip(cols, (host, path, name, n, len(own), verdict)):
+                    bad = n or own >= soft_terms and points >= soft_limit
+                    name, verdict = None, "block" if bad else "allow"
+                for c, v in zip(cols, (host, path, name, n, own, points, verdict)):
                     c.append(v)
-            kinds_ = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()]
-            out = [batch.column(c) for c in keep] + [pa.array(c, k) for c, k in zip(cols, kinds_)]
-            names = [*keep, "host", "path", "rule", "strict_hits", "soft_hits", "verdict"]
-            yield pa.RecordBatch.from_arrays(out, names)
+            kinds_ = [pa.int64() if k == "bigint" else pa.string() for k in sorts]
+            out = [batch.column(c) for c in inner] + [pa.array(c, k) for c, k in zip(cols, kinds_)]
+            yield pa.RecordBatch.from_arrays(out, [*inner, *(f"r{i}" for i in range(len(sorts)))])
 
-    return map_arrow(df.select(*keep, df[url].alias("_url")), judge, schema)
+    front = [df[c].alias(n) for n, c in zip(inner, keep)]
+    out = map_arrow(df.select(*front, df[url].alias("_url")), judge, schema)
+    results = ["host", "path", "rule", "strict_hits", "soft_hits", "soft_points", "verdict"]
+    return out.toDF(*keep, *free_names(keep, results))
 
 
 def _oracle() -> str:
@@ -161,11 +194,13 @@ def _oracle() -> str:
         for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     )
     verdicts = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in RULES)
-    soft = " + ".join(f"CAST({at(w)} AS INT)" for w in SOFT)
+    soft = " + ".join(f"CAST({at(w)} AS INT)" for n in SOFT for w in SOFT[n])
+    points = " + ".join(f"{n} * CAST({at(w)} AS INT)" for n in SOFT for w in SOFT[n])
+    plain = "url_decode(regexp_replace(url, '%[89A-Fa-f][0-9A-Fa-f]', ' ', 'g'))"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
     WITH parts AS (
-      SELECT page_id, coalesce({lower.format("url")}, '') AS u,
+      SELECT page_id, coalesce({lower.format(plain)}, '') AS u,
              CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
       FROM pages),
     hosts AS (SELECT page_id, u, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM parts),
@@ -175,7 +210,8 @@ def _oracle() -> str:
     ruled AS (SELECT *, CASE {rules} END AS rule FROM split)
     SELECT page_id, host, path, rule,
            CASE rule {verdicts} ELSE
-             CASE WHEN {" OR ".join(at(w) for w in STRICT)} OR {soft} >= {SOFT_LIMIT}
+             CASE WHEN {" OR ".join(at(w) for w in STRICT)} 
+               OR ({soft} >= {SOFT_TERMS} AND {points} >= {SOFT_LIMIT})
              THEN 'block' ELSE 'allow' END END AS verdict
     FROM ruled"""
 
