@@ -132,12 +132,17 @@ def dirichlet_shares(
     seed: int = 0,
     sizes: DataFrame | None = None,
     rounds: int = 3,
+    error: float = 0.001,
 ) -> DataFrame:
     """``client_id, label, weight``: rows of a label that a client should get.
 
     Every client draws its label mix from Dir(alpha * p). Alternate scaling of
     labels and clients then pulls the sums towards the label counts and the
-    client sizes, which replaces a search for draws that happen to fit.
+    client sizes, which replaces a search for draws that happen to fit. Labels are
+    met exactly. After every ``rounds`` scalings the sums of the clients are compared
+    with their sizes; scaling ends when none is further off than ``error`` of its size,
+    or when the worst has come less than a tenth closer, as it does where draws are so
+    skewed that no scaling meets the sizes.
     """
     spark = counts.sparkSession
     total = counts.agg(F.sum("count")).scalar()
@@ -167,18 +172,25 @@ def dirichlet_shares(
     shares = drawn.withColumn("_w", weight)
     if sizes is None:
         sizes = client_sizes(spark, n, total)
-    out = shares.join(sizes, "client_id")
-    for _ in range(rounds):
-        scale = F.col("size") / F.sum("_w").over(by_client)
-        out = out.withColumn("_w", F.col("_w") * scale)
-        norm = F.sum("_w").over(by_label)
-        # A label that nobody drew is shared by client size.
-        out = out.withColumn(
-            "_w",
-            F.when(norm > 0, F.col("_w") / norm * F.col("_c")).otherwise(
-                F.col("size") / F.sum("size").over(by_label) * F.col("_c")
-            ),
-        )
+    out, last = shares.join(sizes, "client_id"), float("inf")
+    while True:
+        for _ in range(rounds):
+            scale = F.col("size") / F.sum("_w").over(by_client)
+            out = out.withColumn("_w", F.coalesce(F.col("_w") * scale, F.lit(0.0)))
+            norm = F.sum("_w").over(by_label)
+            # A label that nobody drew is shared by client size.
+            out = out.withColumn(
+                "_w",
+                F.when(norm > 0, F.col("_w") / norm * F.col("_c")).otherwise(
+                    F.col("size") / F.sum("size").over(by_label) * F.col("_c")
+                ),
+            )
+        out = cut_lineage(out)
+        held = out.groupBy("client_id").agg(F.sum("_w").alias("w"), F.first("size").alias("size"))
+        off = held.agg(F.max(F.abs(F.col("w") - F.col("size")) / F.greatest("size", F.lit(1)))).first()[0] or 0.0
+        if off <= error or off > 0.9 * last:
+            break
+        last = off
     return out.select("client_id", label, F.col("_w").alias("weight"), "_c")
 
 
@@ -192,29 +204,44 @@ def split_dirichlet(
     seed: int = 0,
     rounds: int = 3,
 ) -> DataFrame:
-    """Label-skewed split: the rows of a label are cut by the clients' shares."""
+    """Label-skewed split: the rows of a label are cut by the clients' shares.
+
+    Clients get exactly the sizes of ``client_sizes``: what the shares give a client
+    beyond its size, in pseudo-random order of its rows, goes to those that got less.
+    """
+    if n == 1:
+        return df.withColumn("client_id", F.lit(0).cast("long"))
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
     total = df.agg(F.count(F.lit(1))).scalar()
     sizes = client_sizes(df.sparkSession, n, total, imbalance, seed)
     shares = dirichlet_shares(counts, label, n, alpha, seed, sizes, rounds)
-    run = (
-        Window.partitionBy(label)
-        .orderBy("client_id")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    cum = F.sum("weight").over(run) / F.sum("weight").over(Window.partitionBy(label))
+    own = Window.partitionBy(label)
+    run = own.orderBy("client_id").rowsBetween(Window.unboundedPreceding, 0)
+    cum = F.sum("weight").over(run) / F.sum("weight").over(own)
     # All but the last client end at the floor of their cumulative share.
+    end = F.when(F.col("client_id") < n - 1, F.floor(cum * F.col("_c"))).otherwise(F.col("_c")).cast("long")
+    ends = cut_lineage(shares.select("client_id", label, end.alias("_cut")))
     cuts = (
-        shares.withColumn("_cut", F.floor(cum * F.col("_c")))
-        .filter(F.col("client_id") < n - 1)
+        ends.filter(F.col("client_id") < n - 1)
         .groupBy(label)
         .agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
     )
-    if n == 1:
-        return df.withColumn("client_id", F.lit(0).cast("long"))
     placed = hash_positions(df, row_id, [label], seed, "_pos", None)
     client = part_of(F.col("_pos"), F.col("_cuts"))
-    return same_key_join(placed, cuts, label).select(*df.columns, client.alias("client_id"))
+    first = same_key_join(placed, cuts, label).select(*df.columns, client.alias("client_id"))
+
+    got = F.col("_cut") - F.lag("_cut", 1, 0).over(own.orderBy("client_id"))
+    held = ends.select("client_id", got.alias("got")).groupBy("client_id").agg(F.sum("got").alias("got"))
+    goal = {r[0]: r[1] for r in sizes.collect()}  # n rows
+    have = {r[0]: r[1] for r in held.collect()}  # n rows
+    limit = [goal.get(c, 0) for c in range(n)]
+    spare = [have.get(c, 0) - limit[c] for c in range(n)]
+    before = np.concatenate([[0], np.cumsum(np.maximum(spare, 0))])[:n].tolist()
+    filled = np.cumsum(np.maximum(-np.array(spare), 0)).tolist()
+    beyond = hash_positions(first, row_id, ["client_id"], f"{seed}:spare", "_at", None)
+    over = F.col("_at") - F.get(F.lit(limit), "client_id")
+    moved = part_of(F.get(F.lit(before), "client_id") + over, F.lit(filled))
+    return beyond.select(*df.columns, F.when(over >= 0, moved).otherwise(F.col("client_id")).alias("client_id"))
 
 
 def label_owners(labels: DataFrame, label: str, n: int, diversity: float) -> DataFrame:

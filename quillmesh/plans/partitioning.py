@@ -91,6 +91,15 @@ def split_dirichlet_totals(read):
     )
 
 
+@query(
+    "split_dirichlet_sizes",
+    "SELECT i AS client_id, n // 10 + (i < n % 10)::BIGINT AS n_rows FROM range(10) r(i), (SELECT count(*) AS n FROM orders)",
+)
+def split_dirichlet_sizes(read):
+    """Clients get their sizes exactly, whatever their label mix."""
+    return split_dirichlet(read).groupBy("client_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(
     "split_diversity",
     f"""WITH lab AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS k, count(*) OVER () AS kk FROM (SELECT DISTINCT source FROM documents)),

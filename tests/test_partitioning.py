@@ -46,8 +46,7 @@ def test_dirichlet(spark):
     assert len(got) == len({r.id for r in got}) == df.count()
     assert {r.client_id for r in got} <= set(range(6))
     sizes = collections.Counter(r.client_id for r in got)
-    mean = len(got) / 6
-    assert all(0.4 * mean < sizes[c] < 1.9 * mean for c in range(6))
+    assert sorted(sizes.values()) == sorted(len(got) // 6 + (c < len(got) % 6) for c in range(6))
 
     def spread(alpha):
         part = partitioning.split_dirichlet(df, "id", "label", 6, alpha, seed=2)
@@ -58,6 +57,27 @@ def test_dirichlet(spark):
     assert spread(0.5) > 1.5 * spread(1000.0)
 
 
+def test_dirichlet_meets_sizes_and_labels(spark):
+    df = rows(spark, 3000)
+    for alpha, imbalance in ((0.01, 0.0), (0.5, 0.8), (50.0, 0.0)):
+        out = partitioning.split_dirichlet(df, "id", "label", 7, alpha, imbalance, seed=4).collect()
+        want = {r[0]: r[1] for r in partitioning.client_sizes(spark, 7, 3000, imbalance, 4).collect() if r[1]}
+        assert collections.Counter(r.client_id for r in out) == want
+        assert sorted((r.id, str(r.label)) for r in out) == sorted((r.id, str(r.label)) for r in df.collect())
+    again = partitioning.split_dirichlet(df.repartition(9), "id", "label", 7, alpha, imbalance, seed=4).collect()
+    assert {(r.id, r.client_id) for r in again} == {(r.id, r.client_id) for r in out}
+
+
+def test_dirichlet_shares_end_at_their_error(spark):
+    counts = spark.createDataFrame([("a", 700), ("b", 200), (None, 100)], "label string, count long")
+    out = partitioning.dirichlet_shares(counts, "label", 5, 2.0, 1).collect()
+    for key, want in (("label", {"a": 700, "b": 200, None: 100}), ("client_id", dict.fromkeys(range(5), 200))):
+        sums = collections.defaultdict(float)
+        for r in out:
+            sums[r[key]] += r.weight
+        assert all(abs(sums[k] - n) <= 0.001 * n for k, n in want.items()) and len(sums) == len(want)
+
+
 def test_diversity(spark):
     df = rows(spark).filter("label is not null")
     out = partitioning.split_diversity(df, "id", "label", 4, 0.5).collect()
