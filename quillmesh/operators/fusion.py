@@ -10,9 +10,10 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.text import ws_tokens
 from quillmesh.operators.chunking import chunk_tokens
 from quillmesh.operators.retrieval import DIGITS, top_k
 from quillmesh.session import cut_lineage
@@ -130,8 +131,9 @@ def pack_context(
 ) -> DataFrame:
     """Prompt texts per query: ``query_id, prompt_no, text``.
 
-    ``compact`` and the leaf level of ``tree_summarize`` join all texts and cut
-    them at ``budget`` tokens; ``refine`` and ``accumulate`` give one prompt per
+    ``compact``, ``compact_accumulate`` and the leaf level of ``tree_summarize`` (all
+    levels: ``summary_tree``) join all texts and cut them at ``budget`` tokens; they
+    differ in how the answers are put together. ``refine`` and ``accumulate`` give one prompt per
     hit; ``simple_summarize`` keeps the first ``budget`` tokens; ``no_text``
     passes no context.
     """
@@ -144,7 +146,7 @@ def pack_context(
         return hits.select("query_id").distinct().select(
             "query_id", F.lit(0).cast("long").alias("prompt_no"), F.lit("").alias("text")
         )
-    if mode not in ("compact", "tree_summarize", "simple_summarize"):
+    if mode not in ("compact", "compact_accumulate", "tree_summarize", "simple_summarize"):
         raise ValueError(f"unknown mode {mode}")
     joined = hits.groupBy("query_id").agg(
         F.array_join(
@@ -161,6 +163,48 @@ def pack_context(
     return cut.select("query_id", F.col("pos").alias("prompt_no"), "text")
 
 
+def summary_tree(
+    hits: DataFrame, answer: Callable[[Column], Column], budget: int = 1024, order: str = "rank"
+) -> DataFrame:
+    """All prompts of ``tree_summarize``: ``query_id, level, node, parent, text``.
+
+    Prompts of level 0 hold the texts of the hits, those of a level above the answers to
+    the prompts below, joined in order and cut at ``budget`` tokens, until a query has
+    one prompt left. ``answer`` turns the prompts of a level into answers; it may be
+    a model behind a pandas UDF. ``parent`` is the prompt above in which a node's answer
+    starts, null for the last one and for an answer without tokens. Every level is stored,
+    so an answer is asked for once. Answers of a query that together are no shorter than
+    their prompts raise, as no level would be the last.
+    """
+    seen = Window.partitionBy("query_id").orderBy("prompt_no")
+    prompts = cut_lineage(pack_context(hits, "tree_summarize", budget, order))
+    done, level = None, 0
+    while True:
+        count = Window.partitionBy("query_id")
+        open_ = prompts.withColumn("_n", F.count(F.lit(1)).over(count)).filter("_n > 1").drop("_n")
+        answers = cut_lineage(open_.withColumn("_answer", answer(F.col("text"))))
+        words = F.coalesce(F.size(ws_tokens("_answer")), F.lit(0))
+        start = F.sum(words).over(seen) - words
+        parents = answers.select(
+            "query_id", "prompt_no", F.when(words > 0, F.floor(start / budget)).cast("long").alias("parent")
+        )
+        own = prompts.join(parents, ["query_id", "prompt_no"], "left").select(
+            "query_id", F.lit(level).cast("long").alias("level"), F.col("prompt_no").alias("node"), "parent", "text"
+        )
+        done = own if done is None else done.unionByName(own)
+        sums = answers.groupBy("query_id").agg(
+            F.sum(words).alias("after"), F.sum(F.size(ws_tokens("text"))).alias("before")
+        )
+        left, stuck = sums.agg(F.count(F.lit(1)), F.count_if(F.col("after") >= F.col("before"))).first()
+        if left == 0:
+            return done
+        if stuck:
+            raise ValueError(f"the answers of level {level} are no shorter than its prompts")
+        level += 1
+        texts = answers.select("query_id", F.col("prompt_no").alias(order), F.col("_answer").alias("text"))
+        prompts = cut_lineage(pack_context(texts, "tree_summarize", budget, order))
+
+
 def merge_hits(
     hits: DataFrame, k: int, k_rrf: int = RRF_K, dup: str = "worst"
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import positions, ranking
 from quillmesh.functions.text import sentences
+from quillmesh.functions.text import ws_tokens
 from quillmesh.operators import chunking, fusion, retrieval, routing, splitting, text_index
 from quillmesh.plans.common import query
 from quillmesh.plans.privacy import _WS, SQL_PAIRS, dialogue_pairs, sql_sentences
@@ -585,6 +586,32 @@ def pack_compact(read):
     return fusion.pack_context(_context(read), "compact", 512)
 
 
+@query(
+    "fuse_pack_compact_accumulate",
+    f"WITH {_SQL_JOINED} SELECT query_id, pos AS prompt_no, text FROM ({sql_chunks('joined', 'query_id', 128, 0)})",
+)
+def pack_compact_accumulate(read):
+    return fusion.pack_context(_context(read), "compact_accumulate", 128)
+
+
+@query(
+    "fuse_summary_tree",
+    f"""WITH RECURSIVE {_SQL_JOINED}, toks AS ({sql_tokens("joined", "query_id")}),
+level(query_id, level, toks) AS (
+  SELECT query_id, 0::BIGINT, toks FROM toks
+  UNION ALL
+  SELECT query_id, level + 1, flatten([toks[s + 1 : s + 40] FOR s IN range(0, len(toks), 128)]) FROM level WHERE len(toks) > 128),
+node AS (SELECT query_id, level, toks, unnest(range(0, len(toks), 128)) AS s FROM level),
+parts AS (SELECT query_id, level, s // 128 AS node, array_to_string(toks[s + 1 : s + 128], ' ') AS text,
+  CASE WHEN len(toks) > 128 THEN s // 128 * 40 // 128 END AS parent FROM node)
+SELECT query_id, level, node, parent, text FROM parts""",
+)
+def summary_tree(read):
+    """Levels of prompts; the first 40 tokens of a prompt stand for the answer to it."""
+    first = lambda text: F.array_join(F.slice(ws_tokens(text), 1, 40), " ")
+    return fusion.summary_tree(_context(read), first, 128)
+
+
 @query(
     "fuse_pack_simple_summarize",
     f"WITH {_SQL_JOINED} SELECT query_id, pos AS prompt_no, text FROM ({sql_chunks('joined', 'query_id', 512, 0)}) WHERE pos = 0",

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmesh.operators import fusion, retrieval
 
@@ -189,3 +190,25 @@ def test_contrastive(spark):
         s = a @ c.T
         want = np.mean([np.log(np.exp(s[i]).sum()) - s[i, i] for i in range(3)])
         assert abs(got[b] - want) < 1e-12
+
+
+def test_summary_tree(spark):
+    hits = [(1, k, " ".join(f"w{k}_{i}" for i in range(7))) for k in range(5)] + [(2, 0, "a b"), (3, 0, None), (4, 0, ""), (4, 1, " ")]
+    df = spark.createDataFrame(hits, "query_id long, rank long, text string")
+    first = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 3), " ")
+    got = {(r.query_id, r.level, r.node): (r.parent, r.text) for r in fusion.summary_tree(df, first, 4).collect()}
+
+    want, toks, level = {}, [t for q, _, x in hits if q == 1 for t in x.split()], 0
+    while True:
+        prompts = [toks[i : i + 4] for i in range(0, len(toks), 4)]
+        for k, p in enumerate(prompts):
+            start = sum(len(q[:3]) for q in prompts[:k])
+            want[1, level, k] = (start // 4 if len(prompts) > 1 else None, " ".join(p))
+        if len(prompts) == 1:
+            break
+        toks, level = [t for p in prompts for t in p[:3]], level + 1
+    assert level > 2
+    assert got == want | {(2, 0, 0): (None, "a b")}  # queries without a token have no prompt
+    with pytest.raises(ValueError):
+        fusion.summary_tree(df, lambda c: F.concat_ws(" ", c, c), 4).count()
+    assert fusion.summary_tree(df.limit(0), first, 4).count() == 0
