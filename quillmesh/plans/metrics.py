@@ -55,7 +55,25 @@ def rouge_n(read):
     return out.select("pair_id", *r6(*[c for c in out.columns if c != "pair_id"]))
 
 
-@query("metric_rouge_l")
+# A row of the alignment table per word of the reference; each follows from the one before
+# by a running maximum or minimum, as the neighbour to the left adds no or one step.
+_SQL_LCS = f"""RECURSIVE {SQL_QA},
+w AS (SELECT pair_id, {_WORDS.format(c="pred")} AS p, {_WORDS.format(c="ref")} AS r FROM qa),
+lcs(pair_id, i, best, p, r) AS (
+  SELECT pair_id, 0::BIGINT, [0::BIGINT FOR k IN range(0, len(p) + 1)], p, r FROM w
+  UNION ALL
+  SELECT pair_id, i + 1, [0::BIGINT] || [list_max(c[1 : j]) FOR j IN range(1, len(c) + 1)], p, r
+  FROM (SELECT pair_id, i, p, r, [greatest(best[k + 1], CASE WHEN p[k] = r[i + 1] THEN best[k] + 1 ELSE 0::BIGINT END) FOR k IN range(1, len(p) + 1)] AS c
+        FROM lcs WHERE i < len(r)))"""
+
+
+@query(
+    "metric_rouge_l",
+    f"""WITH {_SQL_LCS},
+s AS (SELECT pair_id, CASE WHEN len(p) > 0 THEN best[len(p) + 1]::DOUBLE / len(p) ELSE 0 END AS a, CASE WHEN len(r) > 0 THEN best[len(p) + 1]::DOUBLE / len(r) ELSE 0 END AS b
+      FROM lcs WHERE i = len(r))
+SELECT pair_id, round(a, 6)::DOUBLE AS "rougeL_p", round(b, 6)::DOUBLE AS "rougeL_r", round(CASE WHEN a + b > 0 THEN 2 * a * b / (a + b) ELSE 0 END, 6)::DOUBLE AS "rougeL_f1" FROM s""",
+)
 def rouge_l(read):
     out = text_metrics.rouge_l(answer_pairs(read))
     return out.select("pair_id", *r6(*[c for c in out.columns if c != "pair_id"]))
@@ -67,7 +85,19 @@ def rouge_lsum(read):
     return out.select("pair_id", *r6(*[c for c in out.columns if c != "pair_id"]))
 
 
-@query("metric_wer")
+@query(
+    "metric_wer",
+    f"""WITH RECURSIVE {SQL_QA},
+tp AS (SELECT pair_id, pred AS text FROM qa), tr AS (SELECT pair_id, ref AS text FROM qa),
+w AS (SELECT a.pair_id, a.toks AS p, b.toks AS r FROM ({sql_tokens("tp", "pair_id")}) a JOIN ({sql_tokens("tr", "pair_id")}) b USING (pair_id)),
+ed(pair_id, i, least_, p, r) AS (
+  SELECT pair_id, 0::BIGINT, range(0, len(p) + 1), p, r FROM w
+  UNION ALL
+  SELECT pair_id, i + 1, [i + 1] || [j + least(i + 1, list_min(c[1 : j])) FOR j IN range(1, len(c) + 1)], p, r
+  FROM (SELECT pair_id, i, p, r, [least(least_[k + 1] + 1, least_[k] + (p[k] <> r[i + 1])::BIGINT) - k FOR k IN range(1, len(p) + 1)] AS c
+        FROM ed WHERE i < len(r)))
+SELECT pair_id, round(least_[len(p) + 1]::DOUBLE / greatest(len(r), 1), 6)::DOUBLE AS wer FROM ed WHERE i = len(r)""",
+)
 def wer(read):
     return text_metrics.wer(answer_pairs(read)).select("pair_id", *r6("wer"))
 

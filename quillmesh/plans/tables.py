@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillmesh.functions.positions import sorted_positions
@@ -11,6 +13,7 @@ from quillmesh.plans.common import query
 from quillmesh.plans.partitioning import sql_even, sql_pos
 from quillmesh.plans.privacy import SQL_PAIRS, dialogue_pairs, sql_sentences
 from quillmesh.plans.retrieval import sql_chunks, sql_tokens
+from quillmesh.session import ensure_checkpoint_dir
 from quillmesh.sources import corpus, reports, tables
 
 
@@ -45,6 +48,19 @@ def corpus_flatten(read):
     return corpus.flatten_corpus(parsed, "p")
 
 
+@query(
+    "source_corpus_written",
+    f"""SELECT doc_id * 100000 + position AS id, '' AS title, sentence AS text FROM ({sql_sentences("documents", "doc_id")})""",
+)
+def corpus_written(read):
+    """The flat corpus as a reader finds it after it was written as JSON lines."""
+    flat = corpus_flatten(read)
+    spark = flat.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quillmesh-{uuid.uuid4().hex}"
+    corpus.write_corpus(flat, path)
+    return spark.read.schema("id bigint, title string, text string").json(path)
+
+
 @query(
     "source_corpus_first_passages",
     f"""SELECT id, '' AS title, text FROM (SELECT doc_id, position, doc_id * 100000 + position AS id, sentence AS text FROM ({sql_sentences("documents", "doc_id")}))""",
