@@ -41,10 +41,17 @@ def _folder(spark) -> str:
 
 
 def _source(spark, sf_dir, table):
-    """File stream over one table file of the folder."""
+    """File stream over one table: a folder of files, or a single file of ``sf_dir``.
+
+    A stream takes folders only, so a single file is picked by name from its folder.
+    """
     name = f"{table}.parquet"
-    schema = spark.read.parquet(f"{sf_dir}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/{name}")
+    stream = spark.readStream.schema(rows.schema)
+    files = rows.inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}"):
+        return stream.option("pathGlobFilter", name).parquet(sf_dir)
+    return stream.parquet(f"{sf_dir}/{name}")
 
 
 @stream_query(
@@ -71,7 +78,7 @@ def request_stream(spark, sf_dir):
     "stream_sanitize", f"WITH {sql_sanitized('documents', 'doc_id')} SELECT * FROM sanitized"
 )
 def sanitize_documents(spark, sf_dir):
-    """One file is one batch, which runs at the default threshold."""
+    """All files are one batch, which runs at the default threshold."""
     folder = _folder(spark)
     docs = _source(spark, sf_dir, "documents").select("doc_id", "text")
     paths = [f"{folder}/{name}" for name in ("out", "thresholds", "state")]

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quillmesh.plans import streams
 from quillmesh.streaming.request_stats import request_stats
 from quillmesh.streaming.sanitize_stream import sanitize_stream
 
@@ -38,3 +39,15 @@ def test_request_windows(spark, tmp_path):
     run.awaitTermination()
     closed = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.query_count for r in closed) == [1, 2]
+
+
+def test_tables_of_many_files(spark, tmp_path):
+    """A table may be a single file or a folder of files, whatever their names."""
+    docs = [(i, "Fine start. Call 555 123 4567 now.", "en") for i in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [("2024-01-01 00:10:00", 1.0), ("2024-01-01 05:00:00", 7.0)]
+    frame = spark.createDataFrame(rows, "ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    frame.repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r.doc_id for r in streams.sanitize_documents(spark, str(tmp_path)).collect()) == list(range(6))
+    assert [r.query_count for r in streams.request_stream(spark, str(tmp_path)).collect()] == [1]
