@@ -25,7 +25,10 @@ from quillmesh.functions.positions import (
     seeded_hash,
     sorted_positions,
 )
-from quillmesh.session import cut_lineage
+from quillmesh.session import cut_lineage, tasks_by_rows, written
+
+#: Nodes up to which their ids are shared with all tasks.
+NODES = 1 << 23
 
 
 def hash_normal(seed: int | str, *cols: str | Column) -> Column:
@@ -464,6 +467,60 @@ def split_graphs(graphs: DataFrame, graph_id: str, rate: float, seed: int = 0) -
     return split_nodes(graphs, graph_id, 0.0, rate, seed)
 
 
+def _order_hash(seed: int, row_id: str | Column) -> Column:
+    """What ``hash_positions`` orders by, as hex digits."""
+    return F.substring(seeded_hash(seed, row_id), 1, 15)
+
+
+def _ends(rows: DataFrame, seed: int, row_id: str, firsts: Sequence[tuple[Column, int]]) -> list[Column]:
+    """Per (group, count) a condition that holds for the group's first ``count`` rows in the
+    order of ``hash_positions``.
+
+    Only the row behind them is looked for, so no row is dealt or sorted: rows are counted
+    by the first digits of their hash, then those that share the row's digits are ordered.
+    """
+    h, digits = _order_hash(seed, row_id), 4
+    sums = [F.count_if(group).alias(f"_g{i}") for i, (group, _) in enumerate(firsts)]
+    counts = rows.groupBy(F.substring(h, 1, digits).alias("_b")).agg(*sums).toPandas().sort_values("_b")
+    out = []
+    for i, (group, count) in enumerate(firsts):
+        upto = counts[f"_g{i}"].to_numpy().cumsum()
+        if not len(upto) or count >= upto[-1]:
+            out.append(F.lit(True))
+            continue
+        at = int(np.searchsorted(upto, count, side="right"))
+        skip = count - (int(upto[at - 1]) if at else 0)
+        same = rows.filter(group & (F.substring(h, 1, digits) == counts["_b"].iloc[at]))
+        row = same.select(h.alias("_h"), F.col(row_id).alias("_i")).orderBy("_h", "_i").offset(skip).limit(1).first()
+        out.append((h < row["_h"]) | ((h == row["_h"]) & (F.col(row_id) < F.lit(row["_i"]))))
+    return out
+
+
+def _node_lookup(indexed: DataFrame, n: int) -> Callable[[DataFrame], DataFrame]:
+    """``src`` and ``dst`` in place of the node numbers ``_a`` and ``_b``.
+
+    Up to ``NODES`` whole numbers are shared with all tasks; beyond, and for other nodes,
+    rows are joined twice.
+    """
+    spark = indexed.sparkSession
+    kind = indexed.schema["node"].dataType.simpleString()
+    if n <= NODES and kind in ("bigint", "int") and indexed.filter("node is null").isEmpty():
+        table = indexed.select("_k", "node").toArrow()
+        names = np.zeros(n, np.int64 if kind == "bigint" else np.int32)
+        names[table.column("_k").to_numpy()] = table.column("node").to_numpy()
+        shared = spark.sparkContext.broadcast(names)
+
+        def name(number: pd.Series) -> pd.Series:
+            return pd.Series(shared.value[number.to_numpy()])
+
+        # Else the filter that follows would make the names a second time.
+        node = F.pandas_udf(name, kind).asNondeterministic()
+        return lambda c: c.withColumns({"src": node("_a"), "dst": node("_b")}).drop("_a", "_b")
+    left = indexed.select(F.col("_k").alias("_a"), F.col("node").alias("src"))
+    right = indexed.select(F.col("_k").alias("_b"), F.col("node").alias("dst"))
+    return lambda c: c.join(left, "_a").join(right, "_b").drop("_a", "_b")
+
+
 def split_links(
     edges: DataFrame,
     val: float,
@@ -478,35 +535,49 @@ def split_links(
     Each part gets exactly ``int(neg * positives)`` pairs of different nodes that are no
     edge, in neither direction if ``undirected``; it is an error if the graph has too few.
     Every edge proposes ``draws`` random pairs, twice as many as long as a part is short.
+    Parts take the first ones in hash order, found by counting; the others are not dealt.
     Where pairs are scarce all of them are listed, as many rows as there are edges and
     negatives, but for a small factor.
     """
-    pairs = edges.select("src", "dst").distinct()
-    keyed = pairs.withColumn("_id", F.concat_ws("-", "src", "dst"))
-    split = cut_lineage(split_nodes(keyed, "_id", val, test, seed))
+    spark = edges.sparkSession
+    named_id = F.concat_ws("-", "src", "dst")
+    pairs = written(edges.select("src", "dst").distinct())
+    total = pairs.count()
+    # Sizes of the parts in the order in which positions deal them out.
+    sizes = {"val": math.floor(total * float(val)), "test": math.floor(total * float(test))}
+    upto = [sizes["val"], sizes["val"] + sizes["test"]]
+    sizes["train"] = total - upto[1]
+    split = pairs.withColumn("_id", named_id)
+    ends = _ends(split, seed, "_id", [(F.lit(True), k) for k in upto])
+    part = F.when(ends[0], F.lit("val")).when(ends[1], F.lit("test")).otherwise(F.lit("train"))
+    split = split.withColumn("part", part)
     nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    indexed = cut_lineage(hash_positions(nodes, "node", seed=seed, pos="_k", total="_N"))
+    indexed = written(hash_positions(nodes, "node", seed=seed, pos="_k", total="_N"))
     taken = pairs.filter("src <> dst")
     if undirected:
         taken = taken.unionByName(taken.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    taken = cut_lineage(taken)
     n = indexed.count()
     free = n * (n - 1) - taken.count()
-    want = {r["part"]: int(neg * r["count"]) for r in split.groupBy("part").count().collect()}
+    want = {name: int(neg * size) for name, size in sizes.items() if size}
     if sum(want.values()) * (2 if undirected else 1) > free:
         raise ValueError("the graph has too few pairs without an edge")
-    left = indexed.select(F.col("_k").alias("_a"), F.col("node").alias("src"))
-    right = indexed.select(F.col("_k").alias("_b"), F.col("node").alias("dst"))
+    lookup = _node_lookup(indexed, n)
 
-    def fresh(candidates: DataFrame) -> DataFrame:
-        """Candidates that are new pairs without an edge, each once."""
-        named = candidates.join(left, "_a").join(right, "_b").filter("src <> dst")
+    def fresh(candidates: DataFrame, bound: float = 1.0) -> DataFrame:
+        """Candidates that are new pairs without an edge, each once; of those only the
+        ones that come in the first ``bound`` of the order by hash."""
+        named = lookup(candidates).filter("src <> dst")
         if undirected:
             low, high = F.least("src", "dst"), F.greatest("src", "dst")
             named = named.withColumns({"src": low, "dst": high})
-        once = named.groupBy("src", "dst").agg(F.min(F.struct("_draw", "_id", "part")).alias("_first"))
+        if bound < 1:
+            named = named.filter(_order_hash(seed, named_id) < f"{int(bound * 16**15):015x}")
+        # Dealt before they are counted, as next to no pair comes twice within a task.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = named.repartition(parts, "src", "dst")
+        once = dealt.groupBy("src", "dst").agg(F.min(F.struct("_draw", "_id", "part")).alias("_first"))
         once = once.select("src", "dst", "_first.part").join(taken, ["src", "dst"], "left_anti")
-        return once.withColumn("_id", F.concat_ws("-", "src", "dst"))
+        return once.withColumn("_id", named_id)
 
     def pick(side: str) -> Column:
         u = hash_uniform(seed, F.lit(side), "_id", "_draw")
@@ -528,18 +599,24 @@ def split_links(
             at += count
         negative = placed.withColumn("part", part).filter("part is not null")
     else:
+        # A part takes the first of its candidates by hash, so the rest need not be dealt.
+        bound = 1.2 * neg / draws + 0.01
         while True:
             drawn = split.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
                 "part", "_id", "_draw", pick("a").alias("_a"), pick("b").alias("_b")
             )
-            found = cut_lineage(fresh(drawn))
+            with tasks_by_rows(spark, math.ceil(total * draws * min(bound, 1.0))):
+                found = written(fresh(drawn, bound).drop("_id")).withColumn("_id", named_id)
             got = {r["part"]: r["count"] for r in found.groupBy("part").count().collect()}
             if all(got.get(name, 0) >= count for name, count in want.items()):
                 break
-            draws *= 2
-        placed = hash_positions(found, "_id", ["part"], seed, "_pos", None)
-        wanted = F.create_map(*[F.lit(x) for item in want.items() for x in item]) if want else F.create_map()
-        negative = placed.filter(F.col("_pos") < wanted[F.col("part")]) if want else placed.limit(0)
+            draws, bound = (draws, 2 * bound) if bound < 1 else (2 * draws, bound)
+        own = list(want.items())
+        ends = _ends(found, seed, "_id", [(F.col("part") == name, count) for name, count in own])
+        first = F.lit(False)
+        for (name, _), end in zip(own, ends):
+            first = first | ((F.col("part") == name) & end)
+        negative = found.filter(first)
     return split.select("src", "dst", F.lit(1).alias("edge_label"), "part").unionByName(
         negative.select("src", "dst", F.lit(0).alias("edge_label"), "part")
     )
