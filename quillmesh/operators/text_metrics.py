@@ -1,83 +1,129 @@
 """Answer quality against a reference text: ``pairs(pair_id, pred, ref)``.
 
-Counts of n-grams are plain aggregations keyed by pair and gram, combined on the
-map side. Only alignments along the whole text (longest common subsequence, word
-edit distance) run in Arrow batches.
+Counts of n-grams and alignments along the whole text (longest common subsequence,
+word edit distance) run in Arrow batches, in the task that has the texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import let, word_terms, ws_tokens
+from quillmesh.functions.text import word_terms, ws_tokens
 
 SIDES = ("pred", "ref")
 
 
-def _grams(tokens: Column, n: int, joiner: str) -> Column:
-    count = F.size(tokens) - F.lit(n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), joiner))
-
+#: Symbols counted at once; bounds the arrays of a task.
+SYMBOLS = 1 << 20
 
-def _tag(order: int):
-    return lambda g: F.struct(F.lit(order).alias("n"), g.alias("gram"))
 
+def letters(text: Column) -> Column:
+    """The text without white space, whose characters are the tokens."""
+    return F.regexp_replace(text, r"\s+", "")
 
-def word_grams(col: str, orders: Sequence[int]) -> Column:
-    """``array<struct<n,gram>>`` over lower-cased words."""
-    return let(
-        word_terms(col),
-        lambda t: F.concat(*[F.transform(_grams(t, n, " "), _tag(n)) for n in orders]),
-    )
 
+def _symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Tokens of all texts as small numbers, the number of tokens per text, of values."""
+    if pa.types.is_list(texts.type):
+        sizes = np.diff(texts.offsets.to_numpy())
+        coded = texts.flatten().dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), sizes, max(1, len(coded.dictionary))
+    own = texts.to_pylist()
+    points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)
+    used = np.zeros(0x110000, bool)
+    used[points] = True
+    number = np.cumsum(used) - 1
+    return number[points], np.array([len(t) for t in own], np.int64), max(1, int(used.sum()))
 
-def chrf_grams(col: str, chars: int, words: int) -> Column:
-    """Character orders 1..chars without white space, then word orders (negative)."""
-    # One entry per character: slicing an array does not rescan the text.
-    letters = F.regexp_extract_all(F.col(col), F.lit(r"\S"), F.lit(0))
 
-    def build(v: Column) -> Column:
-        parts = [F.transform(_grams(v["c"], n, ""), _tag(n)) for n in range(1, chars + 1)]
-        parts += [
-            F.transform(_grams(v["w"], n, " "), _tag(-n)) for n in range(1, words + 1)
-        ]
-        return F.concat(*parts)
+def clipped_matches(pred: pa.ListArray, ref: pa.ListArray, longest: int) -> np.ndarray:
+    """Matches, n-grams of ``pred`` and of ``ref``, as (3, longest, rows) for n from 1.
 
-    return let(F.struct(letters.alias("c"), ws_tokens(col).alias("w")), build)
+    Every row has a list of texts, whose n-grams are counted together. A gram is the
+    number of the one before its last token with that token; where numbers get too large,
+    those that occur are numbered anew, so different grams never meet.
+    """
+    rows = len(pred)
+    codes, sizes, base = _symbols(pa.concat_arrays([pred.flatten(), ref.flatten()]))
+    row = np.concatenate([np.repeat(np.arange(rows), np.diff(x.offsets.to_numpy())) for x in (pred, ref)])
+    side = np.repeat([0, 1], [len(pred.flatten()), len(ref.flatten())])
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # tokens up to the text's end
+    owner = np.repeat(row * 2 + side, sizes)
+    at, gram, top = np.arange(len(codes)), np.zeros(len(codes), np.int64), 1
+    out = np.zeros((3, longest, rows), np.int64)
+    for n in range(1, longest + 1):
+        inside = left[at] >= n
+        at, gram = at[inside], gram[inside]
+        if top > (1 << 62) // (2 * rows * base):
+            seen, gram = np.unique(gram, return_inverse=True)
+            top = max(1, len(seen))
+        gram = gram * base + codes[at + n - 1]
+        top *= base
+        own = owner[at]
+        key = np.sort(gram * (2 * rows) + own)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        count = np.diff(first, append=len(key))
+        key = key[first]
+        # The two sides of a gram of a row are neighbours.
+        both = np.flatnonzero((key[1:] >> 1 == key[:-1] >> 1)) if len(key) else first
+        met = np.minimum(count[both], count[both + 1]) if len(both) else count[:0]
+        out[0, n - 1] = np.bincount((key[both] >> 1) % rows, met, rows)
+        out[1:, n - 1] = np.bincount(own, minlength=2 * rows).reshape(rows, 2).T
+    return out
 
 
-def gram_counts(pairs: DataFrame, pred: Column, ref: Column) -> DataFrame:
-    """``pair_id, n, matched, n_pred, n_ref`` with clipped matches per order.
+def gram_counts(pairs: DataFrame, sorts: Sequence[tuple[Callable[[Column], Column], int]]) -> DataFrame:
+    """``pair_id, matched, n_pred, n_ref``: arrays with clipped matches per order.
 
-    The texts are placed by pair before they are cut, which both aggregations can
-    use: the grams themselves never travel. The number of partitions is fixed, as
-    grams take many times the room of the texts that AQE would size them by.
+    A sort makes tokens of a text and has orders from 1 to its number; arrays hold the
+    orders of all sorts one behind the other. Grams are counted within the task that has
+    the texts, some texts at a time, so they neither travel nor become rows.
     """
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = pairs.select("pair_id", "pred", "ref").repartition(parts, "pair_id")
-    sides = F.array(
-        F.struct(F.lit(True).alias("p"), pred.alias("g")),
-        F.struct(F.lit(False).alias("p"), ref.alias("g")),
-    )
-    rows = placed.select("pair_id", F.inline(sides)).select(
-        "pair_id", "p", F.inline("g")
-    )
-    per_gram = rows.groupBy("pair_id", "n", "gram").agg(
-        F.count_if("p").alias("_p"), F.count_if(~F.col("p")).alias("_r")
-    )
-    return per_gram.groupBy("pair_id", "n").agg(
-        F.sum(F.least("_p", "_r")).alias("matched"),
-        F.sum("_p").alias("n_pred"),
-        F.sum("_r").alias("n_ref"),
+    texts = placed.groupBy("pair_id").agg(*[F.collect_list(c).alias(c) for c in SIDES])
+    tokens = texts.select(
+        "pair_id", *[F.transform(c, make).alias(f"_{c}{i}") for i, (make, _) in enumerate(sorts) for c in SIDES]
     )
+    longest = [n for _, n in sorts]
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+
+    def size(x: pa.ListArray) -> np.ndarray:
+        """Tokens, about, up to each row's end."""
+        texts = x.flatten()
+        inner = np.diff(texts.offsets.to_numpy()) if pa.types.is_list(texts.type) else pc.utf8_length(texts).to_numpy()
+        upto = np.append(0, np.cumsum(inner))
+        offsets = x.offsets.to_numpy()
+        return upto[offsets[1:] - offsets[0]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(k) for k in range(1, batch.num_columns)]
+            block = sum(size(x) for x in sides) // SYMBOLS
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                # A slice keeps its parent's offsets, a taken array has its own.
+                part = [x.take(pa.array(np.arange(a, b))) for x in sides]
+                counts = np.concatenate(
+                    [clipped_matches(part[2 * i], part[2 * i + 1], n) for i, n in enumerate(longest)], 1
+                )
+                ends = pa.array(np.arange(b - a + 1) * sum(longest), pa.int32())
+                cols = [pa.ListArray.from_arrays(ends, pa.array(c.T.ravel())) for c in counts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), *cols], ["pair_id", "matched", "n_pred", "n_ref"]
+                )
+
+    listed = "array<bigint>"
+    return tokens.mapInArrow(run, f"pair_id {kind}, matched {listed}, n_pred {listed}, n_ref {listed}")
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -90,22 +136,17 @@ def _f1(p: Column, r: Column) -> Column:
 
 def rouge_n(pairs: DataFrame, orders: Sequence[int] = (1, 2)) -> DataFrame:
     """``rouge{n}_p/r/f1`` per pair."""
-    counts = gram_counts(pairs, word_grams("pred", orders), word_grams("ref", orders))
+    counts = gram_counts(pairs, [(word_terms, max(orders))])
     cols = []
     for n in orders:
-        at = F.col("n") == n
-        m, np_, nr = (
-            F.coalesce(F.sum(F.when(at, F.col(c))), F.lit(0))
-            for c in ("matched", "n_pred", "n_ref")
-        )
+        m, np_, nr = (F.col(c)[n - 1] for c in ("matched", "n_pred", "n_ref"))
         p, r = _share(m, np_), _share(m, nr)
         cols += [
             p.alias(f"rouge{n}_p"),
             r.alias(f"rouge{n}_r"),
             _f1(p, r).alias(f"rouge{n}_f1"),
         ]
-    scores = counts.groupBy("pair_id").agg(*cols)
-    return _all_pairs(pairs, scores)
+    return _all_pairs(pairs, counts.select("pair_id", *cols))
 
 
 def _all_pairs(pairs: DataFrame, scores: DataFrame) -> DataFrame:
@@ -119,13 +160,15 @@ def chrf(pairs: DataFrame, words: int = 0, chars: int = 6, beta: float = 2.0) ->
 
     Precision and recall are means over the orders that both sides have.
     """
-    counts = gram_counts(
-        pairs, chrf_grams("pred", chars, words), chrf_grams("ref", chars, words)
-    ).filter((F.col("n_pred") > 0) & (F.col("n_ref") > 0))
-    means = counts.groupBy("pair_id").agg(
-        F.avg(F.col("matched") / F.col("n_pred")).alias("_p"),
-        F.avg(F.col("matched") / F.col("n_ref")).alias("_r"),
-    )
+    counts = gram_counts(pairs, [(letters, chars), (ws_tokens, words)] if words else [(letters, chars)])
+    both = [(F.col("n_pred")[i] > 0) & (F.col("n_ref")[i] > 0) for i in range(chars + words)]
+    n = sum(x.cast("int") for x in both)
+
+    def mean(c: str) -> Column:
+        shares = [F.when(x, F.col("matched")[i] / F.col(c)[i]).otherwise(F.lit(0.0)) for i, x in enumerate(both)]
+        return F.when(n > 0, sum(shares) / n)
+
+    means = counts.select("pair_id", mean("n_pred").alias("_p"), mean("n_ref").alias("_r"))
     b2 = beta * beta
     score = _share((1 + b2) * F.col("_p") * F.col("_r"), b2 * F.col("_p") + F.col("_r"))
     return _all_pairs(pairs, means.select("pair_id", score.alias("chrf")))
@@ -134,13 +177,9 @@ def chrf(pairs: DataFrame, words: int = 0, chars: int = 6, beta: float = 2.0) ->
 def bleu(pairs: DataFrame, orders: int = 4) -> DataFrame:
     """Sentence BLEU with add-one smoothing of every order and brevity penalty."""
     ns = range(1, orders + 1)
-    counts = gram_counts(pairs, word_grams("pred", ns), word_grams("ref", ns))
-    per = counts.groupBy("pair_id").agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}{n}")
-            for n in ns
-            for c in ("matched", "n_pred", "n_ref")
-        ]
+    counts = gram_counts(pairs, [(word_terms, orders)])
+    per = counts.select(
+        "pair_id", *[F.col(c)[n - 1].alias(f"{c}{n}") for n in ns for c in ("matched", "n_pred", "n_ref")]
     )
     logs = F.lit(0.0)
     for n in ns:
