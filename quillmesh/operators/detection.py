@@ -8,16 +8,18 @@ their intersection. An image with very many boxes thus spreads over its cells.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.functions.positions import sorted_positions
-from quillmesh.functions.running import running
-from quillmesh.session import cut_lineage
+from quillmesh.session import cut_lineage, written
 
 GRID = 64.0
+#: Boxes of an image and label, of both kinds, up to which each detection meets all.
+HOT = 512
 # IoU thresholds 0.50, 0.55 ... 0.95.
 THRESHOLDS = [0.5 + 0.05 * i for i in range(10)]
 
@@ -119,6 +121,106 @@ def overlaps(
     return met.filter(home).withColumn("iou", iou("g", "d")).filter("iou > 0").drop("_cx", "_cy")
 
 
+def _met(gts: DataFrame, dets: DataFrame) -> DataFrame:
+    """``d_box_id, g_box_id, iou`` of boxes that overlap, of one image and label."""
+    key = ["image_id", "label"]
+    kinds = gts.select(*key).unionByName(dets.select(*key)).groupBy(*key).count()
+    large = written(kinds.filter(F.col("count") > HOT).select(*key))
+    names = ["box_id", "x1", "y1", "x2", "y2"]
+
+    def met(g: DataFrame, d: DataFrame) -> DataFrame:
+        g, d = (x.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in names]) for p, x in (("g", g), ("d", d)))
+        return d.join(g, key).withColumn("iou", iou("g", "d")).filter("iou > 0").select("d_box_id", "g_box_id", "iou")
+
+    if large.isEmpty():
+        return met(gts, dets)
+    small, big = ([x.join(large, key, how) for x in (gts, dets)] for how in ("left_anti", "left_semi"))
+    return met(*small).unionByName(overlaps(*big, key).select("d_box_id", "g_box_id", "iou"))
+
+
+def _first_hits(dets: DataFrame, best: DataFrame, levels: Sequence[float]) -> DataFrame:
+    """``label, _s, box_id, _lo, _hi``: every detection with the levels (as a range of their
+    numbers) at which it is the first of its best ground truth."""
+    own = dets.select("label", "box_id", (-F.col("score")).alias("_s")).join(best, "box_id", "left")
+    passed = F.coalesce(sum((F.col("iou") > t).cast("int") for t in levels), F.lit(0))
+    rows = own.select("label", "box_id", "_s", "gt", passed.alias("_hi"))
+    # Detections without a hit are their own groups, else they were one.
+    hit = F.col("_hi") > 0
+    w = Window.partitionBy("label", F.when(hit, F.col("gt")), F.when(~hit, F.col("box_id"))).orderBy("_s", "box_id")
+    before = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("label", "_s", "box_id", F.coalesce(before, F.lit(0)).alias("_lo"), "_hi")
+
+
+def _areas(flagged: DataFrame, n: int) -> DataFrame:
+    """``label, _areas``: per level the sum over hits of the best precision from there on.
+
+    Rows are dealt by ranges, the last detection of a label first, and stored with the
+    number of their range. Counts and best precisions of the ranges behind then go into
+    each, so a label of any size is many tasks.
+    """
+    order = [F.col("label").asc(), F.col("_s").desc(), F.col("box_id").desc()]
+    # Of rows that are alike the one that hits is the first by score.
+    ranged = flagged.repartitionByRange(*order).sortWithinPartitions(*order, F.col("_hi") > F.col("_lo"))
+    stored = cut_lineage(ranged.select("label", (F.col("_lo") * 65536 + F.col("_hi")).alias("_at"), F.spark_partition_id().alias("_pid")))
+    lo, hi = F.shiftright("_at", 16), F.col("_at").bitwiseAND(65535)
+    hits = [F.count_if((lo <= i) & (hi > i)) for i in range(n)]
+    listed = stored.groupBy("_pid", "label").agg(F.array(F.count(F.lit(1)), *hits).alias("c")).collect()
+    totals: dict = {}
+    behind: dict = {}
+    for r in sorted(listed, key=lambda r: r["_pid"]):
+        behind[r["_pid"], r["label"]] = totals.get(r["label"], np.zeros(n + 1, np.int64))
+        totals[r["label"]] = behind[r["_pid"], r["label"]] + np.array(r["c"])
+    counts = {k: (totals[k[1]], v) for k, v in behind.items()}
+    kind = flagged.schema["label"].dataType.simpleString()
+
+    def walk(rows: DataFrame, best: dict) -> DataFrame:
+        """Per range and label the best precision of each level and the area."""
+        share = rows.sparkSession.sparkContext.broadcast((counts, best))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, best = share.value
+            at = np.arange(n)
+            here: dict = {}
+            for batch in batches:
+                label = batch.column(0).dictionary_encode()
+                code = label.indices.to_numpy(zero_copy_only=False)
+                packed, pid = batch.column(1).to_numpy(), batch.column(2)[0].as_py() if batch.num_rows else 0
+                cuts = [0, *(np.flatnonzero(np.diff(np.nan_to_num(code, nan=-1))) + 1).tolist(), len(code)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a == b:
+                        continue
+                    name = batch.column(0)[a].as_py()
+                    total, _ = counts[pid, name]
+                    if name not in here:
+                        carry = best.get((pid, name), np.zeros(n))
+                        here[name] = [counts[pid, name][1].copy(), np.array(carry, float), np.zeros(n), pid]
+                    seen, top, area, _ = here[name]
+                    x = packed[a:b, None]
+                    hit = ((x >> 16) <= at) & ((x & 65535) > at)
+                    # Hits and detections up to and with each row, which come from the end.
+                    true = total[1:] - seen[1:] - (np.cumsum(hit, 0) - hit)
+                    place = total[0] - seen[0] - np.arange(b - a)
+                    level = np.maximum.accumulate(np.vstack([top, np.where(hit, true / place[:, None], 0.0)]), 0)
+                    area += np.where(hit, level[1:], 0.0).sum(0)
+                    seen[0] += b - a
+                    seen[1:] += hit.sum(0)
+                    here[name][1] = level[-1]
+            if here:
+                names = pa.array(list(here), batch.column(0).type)
+                got = list(here.values())
+                cols = [pa.array([x[3] for x in got], pa.int32()), names, *[pa.array([x[k].tolist() for x in got]) for k in (1, 2)]]
+                yield pa.RecordBatch.from_arrays(cols, ["_pid", "label", "_best", "_areas"])
+
+        return rows.mapInArrow(run, f"_pid int, label {kind}, _best array<double>, _areas array<double>")
+
+    best, upto = {}, {}
+    for r in sorted(walk(stored, {}).collect(), key=lambda r: r["_pid"]):
+        best[r["_pid"], r["label"]] = upto.get(r["label"], np.zeros(n))
+        upto[r["label"]] = np.maximum(best[r["_pid"], r["label"]], r["_best"])
+    areas = walk(stored, best)
+    return areas.groupBy("label").agg(F.array(*[F.sum(F.col("_areas")[i]) for i in range(n)]).alias("_areas"))
+
+
 def average_precision(
     gts: DataFrame,
     dets: DataFrame,
@@ -127,60 +229,21 @@ def average_precision(
     """``label, threshold, ap``: all-point interpolated AP per class.
 
     A detection stands for its best ground truth; the first detection of a ground
-    truth by score is the hit, later ones are misses. Positions of detections in
-    the score order come from a distributed ranking, and since precision peaks at
-    hits, only hits enter the interpolation.
+    truth by score is the hit, later ones are misses. Boxes of an image and label meet
+    in one task, those of more than ``HOT`` in the cells of the grid. Detections are then
+    dealt once, by score; classes are few enough to be listed on the driver.
     """
-    key = ["image_id", "label"]
-    pairs = overlaps(gts, dets, key)
-    best = pairs.groupBy("d_box_id").agg(
+    levels = sorted(float(t) for t in thresholds)
+    best = _met(gts, dets).groupBy("d_box_id").agg(
         F.max_by(F.struct("g_box_id", "iou"), F.struct("iou", -F.col("g_box_id"))).alias("_b")
     ).select(
         F.col("d_box_id").alias("box_id"),
         F.col("_b.g_box_id").alias("gt"),
         F.col("_b.iou").alias("iou"),
     )
-    ordered = sorted_positions(
-        dets.select("label", "box_id", (-F.col("score")).alias("_s")),
-        ["_s", "box_id"],
-        ["label"],
-        "_pos",
-        None,
-    ).drop("_s")
-    # One column per threshold keeps one row per ground truth.
-    n = range(len(thresholds))
-    first = (
-        ordered.join(best, "box_id")
-        .groupBy("label", "gt")
-        .agg(
-            *[
-                F.min(F.when(F.col("iou") > F.lit(float(t)), F.col("_pos"))).alias(f"_m{i}")
-                for i, t in enumerate(thresholds)
-            ]
-        )
-    )
-    hits = first.withColumn(
-        "_pos", F.explode(F.array_distinct(F.array_compact(F.array(*[f"_m{i}" for i in n]))))
-    ).select(
-        "label", "_pos", *[(F.col(f"_m{i}") == F.col("_pos")).cast("int").alias(f"_f{i}") for i in n]
-    )
-    # Running aggregates read their input twice, so it is stored first.
-    counted = running(
-        cut_lineage(hits), ["label"], "_pos", {f"_c{i}": ("sum", F.col(f"_f{i}")) for i in n}
-    )
-    scored = counted.select(
-        "label",
-        (-F.col("_pos")).alias("_back"),
-        *[
-            F.when(F.col(f"_f{i}") == 1, F.col(f"_c{i}") / (F.col("_pos") + 1)).alias(f"_p{i}")
-            for i in n
-        ],
-    )
-    smooth = running(
-        cut_lineage(scored), ["label"], "_back", {f"_e{i}": ("max", F.col(f"_p{i}")) for i in n}
-    )
-    areas = smooth.groupBy("label").agg(
-        *[F.sum(F.when(F.col(f"_p{i}").isNotNull(), F.col(f"_e{i}"))).alias(f"_a{i}") for i in n]
+    flagged = _first_hits(dets, best, levels)
+    areas = _areas(written(flagged), len(levels)).select(
+        "label", *[F.col("_areas")[levels.index(float(t))].alias(f"_a{i}") for i, t in enumerate(thresholds)]
     )
     labels = (
         gts.select("label", F.lit(1).alias("_g"))
