@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from quillmesh.session import cut_lineage, written
 GRID = 64.0
 #: Boxes of an image and label, of both kinds, up to which each detection meets all.
 HOT = 512
+#: Detections of a label that are stored as one row.
+BLOCK = 1 << 16
 # IoU thresholds 0.50, 0.55 ... 0.95.
 THRESHOLDS = [0.5 + 0.05 * i for i in range(10)]
 
@@ -151,73 +154,108 @@ def _first_hits(dets: DataFrame, best: DataFrame, levels: Sequence[float]) -> Da
     return rows.select("label", "_s", "box_id", F.coalesce(before, F.lit(0)).alias("_lo"), "_hi")
 
 
+def _blocks(ranged: DataFrame, kind: str) -> DataFrame:
+    """``label, _at, _pid``: sorted ``label, _at`` as runs of a label of up to ``BLOCK`` rows.
+
+    ``_pid`` numbers the blocks in their order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size, name, kind_ = TaskContext.get().partitionId() << 32, [], 0, None, None
+
+        def block() -> pa.RecordBatch:
+            cols = [pa.array([name], kind_), pa.array([np.concatenate(held).tobytes()]), pa.array([number])]
+            return pa.RecordBatch.from_arrays(cols, ["label", "_at", "_pid"])
+
+        for batch in batches:
+            kind_ = batch.column(0).type
+            label = batch.column(0).dictionary_encode()
+            code = np.nan_to_num(label.indices.to_numpy(zero_copy_only=False), nan=-1)
+            packed = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                here = batch.column(0)[a].as_py()
+                if held and (here != name or size + b - a > BLOCK):
+                    yield block()
+                    number, held, size = number + 1, [], 0
+                name = here
+                held.append(packed[a:b])
+                size += b - a
+        if held:
+            yield block()
+
+    return ranged.mapInArrow(run, f"label {kind}, _at binary, _pid bigint")
+
+
 def _areas(flagged: DataFrame, n: int) -> DataFrame:
     """``label, _areas``: per level the sum over hits of the best precision from there on.
 
-    Rows are dealt by ranges, the last detection of a label first, and stored with the
-    number of their range. Counts and best precisions of the ranges behind then go into
-    each, so a label of any size is many tasks.
+    Rows are dealt by ranges, the last detection of a label first, and stored in blocks.
+    Counts and best precisions of the blocks behind then go into each, so a label of any
+    size is many tasks.
     """
     order = [F.col("label").asc(), F.col("_s").desc(), F.col("box_id").desc()]
     # Of rows that are alike the one that hits is the first by score.
     ranged = flagged.repartitionByRange(*order).sortWithinPartitions(*order, F.col("_hi") > F.col("_lo"))
-    stored = cut_lineage(ranged.select("label", (F.col("_lo") * 65536 + F.col("_hi")).alias("_at"), F.spark_partition_id().alias("_pid")))
-    lo, hi = F.shiftright("_at", 16), F.col("_at").bitwiseAND(65535)
-    hits = [F.count_if((lo <= i) & (hi > i)) for i in range(n)]
-    listed = stored.groupBy("_pid", "label").agg(F.array(F.count(F.lit(1)), *hits).alias("c")).collect()
-    totals: dict = {}
-    behind: dict = {}
-    for r in sorted(listed, key=lambda r: r["_pid"]):
-        behind[r["_pid"], r["label"]] = totals.get(r["label"], np.zeros(n + 1, np.int64))
-        totals[r["label"]] = behind[r["_pid"], r["label"]] + np.array(r["c"])
-    counts = {k: (totals[k[1]], v) for k, v in behind.items()}
     kind = flagged.schema["label"].dataType.simpleString()
+    at = (F.col("_lo") * 65536 + F.col("_hi")).cast("int")
+    stored = cut_lineage(_blocks(ranged.select("label", at.alias("_at")), kind))
 
-    def walk(rows: DataFrame, best: dict) -> DataFrame:
-        """Per range and label the best precision of each level and the area."""
-        share = rows.sparkSession.sparkContext.broadcast((counts, best))
+    def walk(counts: dict, best: dict, make, schema: str) -> DataFrame:
+        """What ``make`` gives per block for its levels, its counts and best precisions behind."""
+        share = stored.sparkSession.sparkContext.broadcast((counts, best))
+        names = [x.split()[0] for x in schema.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, best = share.value
-            at = np.arange(n)
-            here: dict = {}
             for batch in batches:
-                label = batch.column(0).dictionary_encode()
-                code = label.indices.to_numpy(zero_copy_only=False)
-                packed, pid = batch.column(1).to_numpy(), batch.column(2)[0].as_py() if batch.num_rows else 0
-                cuts = [0, *(np.flatnonzero(np.diff(np.nan_to_num(code, nan=-1))) + 1).tolist(), len(code)]
-                for a, b in zip(cuts, cuts[1:]):
-                    if a == b:
-                        continue
-                    name = batch.column(0)[a].as_py()
-                    total, _ = counts[pid, name]
-                    if name not in here:
-                        carry = best.get((pid, name), np.zeros(n))
-                        here[name] = [counts[pid, name][1].copy(), np.array(carry, float), np.zeros(n), pid]
-                    seen, top, area, _ = here[name]
-                    x = packed[a:b, None]
-                    hit = ((x >> 16) <= at) & ((x & 65535) > at)
-                    # Hits and detections up to and with each row, which come from the end.
-                    true = total[1:] - seen[1:] - (np.cumsum(hit, 0) - hit)
-                    place = total[0] - seen[0] - np.arange(b - a)
-                    level = np.maximum.accumulate(np.vstack([top, np.where(hit, true / place[:, None], 0.0)]), 0)
-                    area += np.where(hit, level[1:], 0.0).sum(0)
-                    seen[0] += b - a
-                    seen[1:] += hit.sum(0)
-                    here[name][1] = level[-1]
-            if here:
-                names = pa.array(list(here), batch.column(0).type)
-                got = list(here.values())
-                cols = [pa.array([x[3] for x in got], pa.int32()), names, *[pa.array([x[k].tolist() for x in got]) for k in (1, 2)]]
-                yield pa.RecordBatch.from_arrays(cols, ["_pid", "label", "_best", "_areas"])
-
-        return rows.mapInArrow(run, f"_pid int, label {kind}, _best array<double>, _areas array<double>")
-
-    best, upto = {}, {}
-    for r in sorted(walk(stored, {}).collect(), key=lambda r: r["_pid"]):
-        best[r["_pid"], r["label"]] = upto.get(r["label"], np.zeros(n))
-        upto[r["label"]] = np.maximum(best[r["_pid"], r["label"]], r["_best"])
-    areas = walk(stored, best)
+                got = []
+                for label, raw, pid in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    x = np.frombuffer(raw, np.int32)
+                    got.append(make(x >> 16, x & 65535, counts.get(pid), best.get(pid, np.zeros(n))))
+                if got:
+                    cols = [batch.column(2), batch.column(0), pa.array([g.tolist() for g in got])]
+                    yield pa.RecordBatch.from_arrays(cols, names)
+
+        return stored.mapInArrow(run, schema)
+
+    def number(lo, hi, counts, best) -> np.ndarray:
+        """Rows, then hits of each level."""
+        hits = np.bincount(lo, minlength=n + 1) - np.bincount(np.maximum(lo, hi), minlength=n + 1)
+        return np.append(len(lo), np.cumsum(hits)[:n])
+
+    def levels(lo, hi, counts):
+        """Per level the precisions at its hits, from the end."""
+        total, seen = counts
+        for i in range(n):
+            hit = np.flatnonzero((lo <= i) & (hi > i))
+            # Hits and detections up to and with each row, which come from the end.
+            yield (total[1 + i] - seen[1 + i] - np.arange(len(hit))) / (total[0] - seen[0] - hit)
+
+    def highest(lo, hi, counts, best) -> np.ndarray:
+        return np.array([p.max(initial=0.0) for p in levels(lo, hi, counts)])
+
+    def area(lo, hi, counts, best) -> np.ndarray:
+        return np.array([np.maximum(np.maximum.accumulate(p), b).sum() for p, b in zip(levels(lo, hi, counts), best)])
+
+    def listed(rows: DataFrame, combine, start: np.ndarray) -> tuple[dict, dict]:
+        """By block what comes before it within its label; by label all of it."""
+        before: dict = {}
+        upto: dict = {}
+        for r in sorted(rows.collect(), key=lambda r: r["_pid"]):
+            before[r["_pid"]] = r["label"], upto.get(r["label"], start)
+            upto[r["label"]] = combine(upto.get(r["label"], start), np.array(r["_c"]))
+        return before, upto
+
+    before, totals = listed(
+        walk({}, {}, number, f"_pid bigint, label {kind}, _c array<bigint>"), np.add, np.zeros(n + 1, np.int64)
+    )
+    counts = {pid: (totals[label], seen) for pid, (label, seen) in before.items()}
+    tops, _ = listed(walk(counts, {}, highest, f"_pid bigint, label {kind}, _c array<double>"), np.maximum, np.zeros(n))
+    best = {pid: top for pid, (_, top) in tops.items()}
+    areas = walk(counts, best, area, f"_pid bigint, label {kind}, _areas array<double>")
     return areas.groupBy("label").agg(F.array(*[F.sum(F.col("_areas")[i]) for i in range(n)]).alias("_areas"))
 
 
