@@ -9,6 +9,7 @@ their intersection. An image with very many boxes thus spreads over its cells.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,18 +125,28 @@ def overlaps(
     return met.filter(home).withColumn("iou", iou("g", "d")).filter("iou > 0").drop("_cx", "_cy")
 
 
-def _met(gts: DataFrame, dets: DataFrame) -> DataFrame:
-    """``d_box_id, g_box_id, iou`` of boxes that overlap, of one image and label."""
+def _large(gts: DataFrame, dets: DataFrame) -> DataFrame | None:
+    """Image and label of more than ``HOT`` boxes of both kinds, counted in images of as many."""
     key = ["image_id", "label"]
-    kinds = gts.select(*key).unionByName(dets.select(*key)).groupBy(*key).count()
+    both = gts.select(*key).unionByName(dets.select(*key))
+    images = written(both.groupBy("image_id").count().filter(F.col("count") > HOT).select("image_id"))
+    if images.isEmpty():
+        return None
+    kinds = both.join(images, "image_id", "left_semi").groupBy(*key).count()
     large = written(kinds.filter(F.col("count") > HOT).select(*key))
+    return None if large.isEmpty() else large
+
+
+def _met(gts: DataFrame, dets: DataFrame) -> DataFrame:
+    """``d_box_id, g_box_id, iou`` of boxes that overlap, of one image and label."""
+    key, large = ["image_id", "label"], _large(gts, dets)
     names = ["box_id", "x1", "y1", "x2", "y2"]
 
     def met(g: DataFrame, d: DataFrame) -> DataFrame:
         g, d = (x.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in names]) for p, x in (("g", g), ("d", d)))
         return d.join(g, key).withColumn("iou", iou("g", "d")).filter("iou > 0").select("d_box_id", "g_box_id", "iou")
 
-    if large.isEmpty():
+    if large is None:
         return met(gts, dets)
     small, big = ([x.join(large, key, how) for x in (gts, dets)] for how in ("left_anti", "left_semi"))
     return met(*small).unionByName(overlaps(*big, key).select("d_box_id", "g_box_id", "iou"))
@@ -149,42 +160,36 @@ def _first_hits(dets: DataFrame, best: DataFrame, levels: Sequence[float]) -> Da
     rows = own.select("label", "box_id", "_s", "gt", passed.alias("_hi"))
     # Detections without a hit are their own groups, else they were one.
     hit = F.col("_hi") > 0
-    w = Window.partitionBy("label", F.when(hit, F.col("gt")), F.when(~hit, F.col("box_id"))).orderBy("_s", "box_id")
+    # Ids come first, as a sort by what has few values compares whole rows.
+    w = Window.partitionBy(F.when(hit, F.col("gt")), F.when(~hit, F.col("box_id")), "label").orderBy("_s", "box_id")
     before = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return rows.select("label", "_s", "box_id", F.coalesce(before, F.lit(0)).alias("_lo"), "_hi")
 
 
 def _blocks(ranged: DataFrame, kind: str) -> DataFrame:
-    """``label, _at, _pid``: sorted ``label, _at`` as runs of a label of up to ``BLOCK`` rows.
+    """``label, _at, _pid``: sorted ``label, _at`` as runs of a label of about ``BLOCK`` rows.
 
-    ``_pid`` numbers the blocks in their order.
+    ``_pid`` numbers the blocks, those of a label in their order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size, name, kind_ = TaskContext.get().partitionId() << 32, [], 0, None, None
-
-        def block() -> pa.RecordBatch:
-            cols = [pa.array([name], kind_), pa.array([np.concatenate(held).tobytes()]), pa.array([number])]
-            return pa.RecordBatch.from_arrays(cols, ["label", "_at", "_pid"])
-
-        for batch in batches:
-            kind_ = batch.column(0).type
-            label = batch.column(0).dictionary_encode()
-            code = np.nan_to_num(label.indices.to_numpy(zero_copy_only=False), nan=-1)
-            packed = batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                here = batch.column(0)[a].as_py()
-                if held and (here != name or size + b - a > BLOCK):
-                    yield block()
-                    number, held, size = number + 1, [], 0
-                name = here
-                held.append(packed[a:b])
-                size += b - a
-        if held:
-            yield block()
+        number, held, kind_ = TaskContext.get().partitionId() << 32, {}, None
+        for batch in chain(batches, [None]):
+            full = list(held)
+            if batch is not None:
+                kind_ = batch.column(0).type
+                label = batch.column(0).dictionary_encode()
+                code = np.nan_to_num(label.indices.to_numpy(zero_copy_only=False), nan=-1)
+                order = np.argsort(code, kind="stable")
+                packed = batch.column(1).to_numpy()[order]
+                cuts = np.flatnonzero(np.diff(code[order], prepend=-2))
+                for a, rows in zip(cuts, np.split(packed, cuts[1:])):
+                    held.setdefault(batch.column(0)[order[a]].as_py(), []).append(rows)
+                full = [k for k, v in held.items() if sum(map(len, v)) >= BLOCK]
+            for name in full:
+                cols = [pa.array([name], kind_), pa.array([np.concatenate(held.pop(name)).tobytes()]), pa.array([number])]
+                yield pa.RecordBatch.from_arrays(cols, ["label", "_at", "_pid"])
+                number += 1
 
     return ranged.mapInArrow(run, f"label {kind}, _at binary, _pid bigint")
 
@@ -192,13 +197,13 @@ def _blocks(ranged: DataFrame, kind: str) -> DataFrame:
 def _areas(flagged: DataFrame, n: int) -> DataFrame:
     """``label, _areas``: per level the sum over hits of the best precision from there on.
 
-    Rows are dealt by ranges, the last detection of a label first, and stored in blocks.
+    Rows are dealt by ranges of a label, its last detection first, and stored in blocks.
     Counts and best precisions of the blocks behind then go into each, so a label of any
     size is many tasks.
     """
-    order = [F.col("label").asc(), F.col("_s").desc(), F.col("box_id").desc()]
+    order = [F.col("_s").desc(), F.col("box_id").desc()]
     # Of rows that are alike the one that hits is the first by score.
-    ranged = flagged.repartitionByRange(*order).sortWithinPartitions(*order, F.col("_hi") > F.col("_lo"))
+    ranged = flagged.repartitionByRange(F.col("label").asc(), *order).sortWithinPartitions(*order, F.col("_hi") > F.col("_lo"))
     kind = flagged.schema["label"].dataType.simpleString()
     at = (F.col("_lo") * 65536 + F.col("_hi")).cast("int")
     stored = cut_lineage(_blocks(ranged.select("label", at.alias("_at")), kind))
